@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import nearpairs, variants, vectors
-from tessera.plans.cluster import table
+from tessera.llm import answers, leaks, mixing, nearpairs, quotas, splits, subjects, variants, vectors
+from tessera.plans.cluster import cut, table
 
 SIMILARITY = 0.7  # p2: stated by the problem
 DIM, NEIGHBOURS = 64, 5
@@ -56,13 +56,95 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {
-    "p1_found": p1_found,
-    "p1_groups": p1_groups,
-    "p2_found": p2_found,
-    "p2_groups": p2_groups,
-    "p3_found": p3_found,
-    "p3_neighbours": p3_neighbours,
-}
+def _strata_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dev_tied_append").select(F.col("record_id").alias("id"), F.col("question_id").alias("question"), "db_id", "difficulty")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.report(_strata_rows(spark, d), table(spark, d, "sample_targets")).where("missing > 0").select("db_id", "difficulty")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.report(_strata_rows(spark, d), table(spark, d, "sample_targets"))
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    drawn = quotas.sample(_strata_rows(spark, d), table(spark, d, "sample_targets"))
+    return drawn.select(F.col("id").alias("record_id"), F.col("question").alias("question_id"), "db_id", "difficulty")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defective(table(spark, d, "eval_results"), "result_id", "question", "predicted_sql")
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p6_found(spark, d).groupBy("defect").agg(F.count("*").alias("answers"))
+
+
+def _entity_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dev_tied_append").select(F.col("record_id").alias("id"), variants.name_key(F.col("db_id")).alias("a"), F.col("question_id").alias("b"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    tied = cut(splits.tied_entities(_entity_rows(spark, d)))
+    left, right = tied.select("component", F.col("node").alias("db_a")), tied.select("component", F.col("node").alias("db_b"))
+    return left.join(right, "component").where("db_a < db_b").select("db_a", "db_b")
+
+
+def p7_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(_entity_rows(spark, d), table(spark, d, "split_targets")).select(F.col("id").alias("record_id"), "component", "split_name")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return leaks.leaked(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "text"))
 
-SQL: dict[str, str] = {}
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).where(F.col("longest_run") >= leaks.RUN_WORDS).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.budget(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).where("short").select("source")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).select("slot", "source", "repeat", "block", F.col("id").alias("doc_id"), "tokens")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p10_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_list"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each subject and their share of all documents."""
+    every = table(spark, d, "documents").agg(F.count("*").alias("n"))
+    return p10_found(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).crossJoin(every).select("subject", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("share"))  # one row on the right
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_neighbours, p5_found, p5_report, p5_sample, p6_found, p6_counts, p7_found, p7_splits, p8_found, p8_leaks, p9_found, p9_mixture, p9_shares, p10_found, p10_subjects, p10_corpus)}
+
+_STRATA = """
+with t as (select lower(trim(db_id)) a, lower(trim(difficulty)) b, sum(target_bp) bp, max(min_rows) least from sample_targets group by 1, 2),
+c as (select t.a, t.b, t.bp, t.least, count(distinct q.question_id) n from t left join dev_tied_append q on lower(trim(q.db_id)) = t.a and lower(trim(q.difficulty)) = t.b group by 1, 2, 3, 4),
+s as (select sum(n) // 5 size from c)
+"""
+
+_TIES = """
+with recursive p as (select distinct lower(trim(db_id)) d, question_id q from dev_tied_append where db_id is not null and question_id is not null),
+e as (select distinct x.d a, y.d b from p x join p y on x.q = y.q and x.d <> y.d),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+"""
+
+SQL = {
+    "p5_found": _STRATA + "select a db_id, b difficulty from c, s where n < greatest(least, size * bp // 10000)",
+    "p7_found": _TIES + "select a db_a, b db_b from r where a < b",
+}
