@@ -17,8 +17,9 @@ import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 512  # lines parsed at once; below SINGLE lines a failing block is diagnosed line by line
-SINGLE = 1
+#: Lines parsed at once at first, at least and at most: a block that passes doubles the next one, a block that fails halves it.
+BLOCK, LEAST_BLOCK, MOST_BLOCK = 512, 32, 4096
+SINGLE = 16  # a failing block of at most this many lines is diagnosed line by line: a parse costs more than that many scans
 
 QUOTED = r"""'[^']*'|"[^"]*"|`[^`]*`"""
 CLOSED = re.compile(rf"""(?:[^'"`]|{QUOTED})*""", re.S)
@@ -74,16 +75,15 @@ def _bulk(lines: pa.Array, allowed: pa.Array) -> tuple[pa.Array, pa.Array] | Non
 
 
 def parse_block(ids: pa.Array, lines: pa.Array, allowed: frozenset[str], column: pa.Array) -> list[pa.RecordBatch]:
-    """Bisects until blocks parse; rows come out as (line_id, sql, db_id, reason) batches."""
+    """Bisects until blocks parse or are small; rows come out as (line_id, sql, db_id, reason) batches."""
     names = ["line_id", "sql", "db_id", "reason"]
     done, todo, odd = [], [(0, len(lines))], []
     while todo:
         lo, hi = todo.pop()
-        if hi - lo <= SINGLE:
-            odd.append(lo)
-            continue
         got = _bulk(lines.slice(lo, hi - lo), column)
-        if got is None:
+        if got is None and hi - lo <= SINGLE:
+            odd += range(lo, hi)
+        elif got is None:
             mid = (lo + hi) // 2
             todo += [(mid, hi), (lo, mid)]
         else:
@@ -108,9 +108,14 @@ def parse_lines(df: DataFrame, databases: DataFrame, id_col: str = "line_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = pa.array(names, pa.string())
+        size = BLOCK
         for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(lo, BLOCK)
-                yield from parse_block(part.column(0), part.column(1).cast(pa.string()), allowed, column)
+            lo = 0
+            while lo < batch.num_rows:
+                part = batch.slice(lo, size)
+                lo += part.num_rows
+                rows = parse_block(part.column(0), part.column(1).cast(pa.string()), allowed, column)
+                size = min(MOST_BLOCK, size * 2) if len(rows) == 1 and not rows[0].column(3).null_count < rows[0].num_rows else max(LEAST_BLOCK, size // 2)
+                yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0] if len(rows) > 1 else rows[0]
 
     return df.select(F.col(id_col).cast("long").alias("line_id"), F.col(text_col).alias("t")).mapInArrow(run, "line_id long, sql string, db_id string, reason string")
