@@ -73,22 +73,22 @@ def join_candidates(values: DataFrame, count: DataFrame, semantic: DataFrame, ke
     Ties go to the target's name.  Declared foreign keys are left out.  Columns below the size limits never appear.
     """
     token = cut(tokens(values))
-    able = eligible(count, token)
+    able = cut(eligible(count, token))  # one row a column
+    shared = cut(overlaps(token.join(able.select(*KEYS), list(KEYS))))
+    named = able.select(*KEYS, F.lower("col").alias("name"))
+    other = named.select(F.col("tbl").alias("tbl2"), F.col("col").alias("col2"), "name")
+    same = named.join(other, "name").where("tbl <> tbl2").drop("name")
+    ids, ids2 = (x.where(F.col("name").endswith("id")).withColumn("k", F.lit(1)).drop("name") for x in (named, other))
+    pairs = cut(shared.select("tbl", "col", "tbl2", "col2").union(same).union(ids.join(ids2, "k").where("tbl <> tbl2").drop("k")).distinct())
+    # only columns that stand in a pair need a signature
     info = (
-        able.join(minhash(values), list(KEYS))
+        able.join(minhash(values.join(pairs.select(*KEYS).distinct(), list(KEYS), "left_semi")), list(KEYS))
         .join(semantic.select(*KEYS, "semantic_type"), list(KEYS))
         .join(keys.select(*KEYS, "key_score", "likely_key"), list(KEYS))
         .join(count.select(*KEYS, "cardinality_class"), list(KEYS))
     )
-    info = cut(info)  # one row a column
-    shared = overlaps(token.join(able.select(*KEYS), list(KEYS)))
-    named = info.select(*KEYS, F.lower("col").alias("name"))
-    other = named.select(F.col("tbl").alias("tbl2"), F.col("col").alias("col2"), "name")
-    same = named.join(other, "name").where("tbl <> tbl2").drop("name")
-    ids, ids2 = (x.where(F.col("name").endswith("id")).withColumn("k", F.lit(1)).drop("name") for x in (named, other))
-    pairs = shared.select("tbl", "col", "tbl2", "col2").union(same).union(ids.join(ids2, "k").where("tbl <> tbl2").drop("k")).distinct()
-    a = info
-    b = info.select(*[F.col(c).alias(f"{c}2") for c in info.columns])
+    a = cut(info)
+    b = a.select(*[F.col(c).alias(f"{c}2") for c in a.columns])
     j = pairs.join(a, list(KEYS)).join(b, ["tbl2", "col2"]).join(shared, ["tbl", "col", "tbl2", "col2"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
     bonus, relation = name_bonus(F.col("col"), F.col("col2"))
     j = j.where(compatible(F.col("semantic_type"), F.col("semantic_type2"))).select(

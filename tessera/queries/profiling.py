@@ -54,7 +54,7 @@ def profile_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_numeric(spark: SparkSession, d: str) -> DataFrame:
-    return profile.numbers(cut(_values(spark, d)))
+    return profile.numbers(cut(profile.labelled(_values(spark, d))))
 
 
 def profile_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +65,8 @@ def profile_samples(spark: SparkSession, d: str) -> DataFrame:
     return profile.samples(_values(spark, d))
 
 
-def _semantic(v: DataFrame) -> DataFrame:
-    return profile.semantic_types(profile.counts(v), profile.patterns(v), profile.top_values(v))
+def _semantic(v: DataFrame, count: DataFrame | None = None) -> DataFrame:
+    return profile.semantic_types(profile.counts(v) if count is None else count, profile.patterns(v), profile.top_values(v))
 
 
 def profile_semantic(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +75,13 @@ def profile_semantic(spark: SparkSession, d: str) -> DataFrame:
 
 def profile_key_score(spark: SparkSession, d: str) -> DataFrame:
     v = cut(_values(spark, d))
-    return profile.key_scores(profile.counts(v), _semantic(v), CONSTRAINTS).select("tbl", "col", "key_score", F.col("likely_key").cast("int").alias("likely_key"))
+    count = cut(profile.counts(v))
+    return profile.key_scores(count, _semantic(v, count), CONSTRAINTS).select("tbl", "col", "key_score", F.col("likely_key").cast("int").alias("likely_key"))
 
 
 def profile_flags(spark: SparkSession, d: str) -> DataFrame:
     v = cut(_values(spark, d))
-    count = profile.counts(v)
+    count = cut(profile.counts(v))
     return profile.flags(count, profile.top_stats(profile.top_values(v), count)).select("tbl", "col", F.array_join("quality_flags", ",").alias("quality_flags"))
 
 
@@ -110,7 +111,8 @@ def overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def join_candidates(spark: SparkSession, d: str) -> DataFrame:
     v = cut(_values(spark, d))
-    count, semantic = cut(profile.counts(v)), cut(_semantic(v))
+    count = cut(profile.counts(v))
+    semantic = cut(_semantic(v, count))
     return joins.join_candidates(v, count, semantic, profile.key_scores(count, semantic, CONSTRAINTS), CONSTRAINTS).withColumn("target_likely_key", F.col("target_likely_key").cast("int"))
 
 
