@@ -16,14 +16,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later stages neither recompute it nor hang on an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """Materialise ``df`` in the shared checkpoint folder, so that later stages neither recompute it nor hang on an executor.
 
-def narrow_batches(spark: SparkSession, rows: int) -> None:
-    """Bound the Arrow batches handed to Python workers (rows of long text must not pile up)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    The new plan keeps none of the optimiser's guesses about the old one: sizes estimated for joins multiply over the rounds
+    of an iteration until planning takes longer than the work.  Adaptive execution sees the real sizes.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    try:
+        fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    except Exception:  # another session class: the checkpointed plan as it is
+        return done
+    return DataFrame(fresh, df.sparkSession)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
