@@ -225,7 +225,7 @@ def speaks(query: str) -> bool:
     """A query that only selects a sentence which declines: SELECT 'I cannot answer ...'."""
     if re.search(r"\bfrom\b", STRING.sub(" ", query), re.I):
         return False
-    return any(p.search(a or b) for a, b in STRING.findall(query) for p in REFUSALS)
+    return any(p.search((a or b).replace("''", "'")) for a, b in STRING.findall(query) for p in REFUSALS)
 
 
 @F.pandas_udf(T.StringType())

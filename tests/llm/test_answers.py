@@ -12,7 +12,7 @@ CASES = {
     "SELECT CASE WHEN a THEN 1 END FROM t": None, "`SELECT a FROM t`": None, "SELECT 'sorry, I cannot' FROM t": None, "SELECT COUNT(*) FROM t WHERE note = 'I am unable to'": None,
     None: "empty", "": "empty", "  \n": "empty", "ERROR": "empty", "None": "empty", "null;": "empty", "--": "empty", "/* */": "empty", ";;": "empty", "```sql\n```": "empty", "```\nERROR\n```": "empty",
     "I'm sorry, but I cannot write this query.": "refusal", "Request declined (x).": "refusal", "-- Lo siento, no puedo responder sobre category.": "refusal", "抱歉，我无法为 x 编写查询。": "refusal",
-    "Leider kann ich zu x keine Abfrage schreiben.": "refusal", "SELECT 'Unfortunately I can''t answer that question'": "refusal", "It would not be appropriate to look up x.": "refusal", "/* No query can be offered for x under the present policy. */": "refusal",
+    "Leider kann ich zu x keine Abfrage schreiben.": "refusal", "SELECT 'Unfortunately I can''t answer that question'": "refusal", "SELECT 'We can''t work with the tables shown.'": "refusal", "It would not be appropriate to look up x.": "refusal", "/* No query can be offered for x under the present policy. */": "refusal",
     "There is not enough information about x to build a query.": "refusal", "The request falls outside of what may be answered here: x.": "refusal", "```\nWe must decline to give personal records.\n```": "refusal", "Je ne peux pas écrire cette requête.": "refusal",
     "К сожалению, я не могу ответить.": "refusal", "申し訳ありませんが、お答えできません。": "refusal",
     Q: "copied_question", Q.upper(): "copied_question", f"-- {Q}": "copied_question", f'"{Q}" =>': "copied_question", " ".join(Q.split()[:13]): "copied_question",
