@@ -8,6 +8,7 @@ question by greedy string tiling, against refusal grammars in several languages,
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COPIED_SHARE = 0.8  # of the question's words, in order: stated by the problem
+TILED_WORDS = 2000  # tiling sifts answers of up to so many shared words; longer ones go straight to the exact alignment
 
 FENCE = re.compile(r"^[ \t]*(?:```|~~~)[^\n`]*$|```(?:sql|sqlite|text|python|js)?", re.M | re.I)
 COMMENT = re.compile(r"('(?:[^']|'')*'|\"[^\"\n]*\"|`[^`\n]*`)|--[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
@@ -99,9 +101,11 @@ def copies_question(question: str | None, body: str) -> bool:
     q = WORD.findall((question or "").lower())
     if not q:
         return False
-    a = WORD.findall(body.lower())[: 20 * len(q) + 200]
-    need = COPIED_SHARE * len(q) - 1e-9
-    return tiled_words(q, a) >= need and longest_in_order(q, a) >= need
+    need, have = COPIED_SHARE * len(q) - 1e-9, Counter(q)
+    a = [w for w in WORD.findall(body.lower()) if w in have]  # other words match nothing
+    if sum((have & Counter(a)).values()) < need:
+        return False
+    return (len(a) > TILED_WORDS or tiled_words(q, a) >= need) and longest_in_order(q, a) >= need
 
 
 def without_comments(text: str) -> str:
@@ -207,13 +211,13 @@ def defect_of(question: str | None, answer: str | None) -> str | None:
         return "truncated" if stops_early(query) else None
     spoken = re.sub(r"--+|/\*+|\*+/", " ", body)
     if copies_question(question, spoken):
-        return "copied_question" if not is_refusal_only(spoken, question) else "refusal"
+        return "refusal" if refuses_beside(spoken, question) else "copied_question"
     if any(p.search(spoken) for p in REFUSALS):
         return "refusal"
     return "other_language"
 
 
-def is_refusal_only(spoken: str, question: str | None) -> bool:
+def refuses_beside(spoken: str, question: str | None) -> bool:
     """A refusal that merely repeats the question: it declines in words that the question does not have."""
     return any((m := p.search(spoken)) and (question is None or m.group().lower() not in question.lower()) for p in REFUSALS)
 

@@ -126,8 +126,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each subject and their share of all documents."""
-    every = table(spark, d, "documents").agg(F.count("*").alias("n"))
-    return p10_found(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).crossJoin(every).select("subject", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("share"))  # one row on the right
+    every = table(spark, d, "documents").count()
+    return p10_found(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).select("subject", "documents", F.round(F.col("documents") / every, 6).alias("share"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_neighbours, p5_found, p5_report, p5_sample, p6_found, p6_counts, p7_found, p7_splits, p8_found, p8_leaks, p9_found, p9_mixture, p9_shares, p10_found, p10_subjects, p10_corpus)}
@@ -144,7 +144,19 @@ e as (select distinct x.d a, y.d b from p x join p y on x.q = y.q and x.d <> y.d
 r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 """
 
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_QUESTION = _WORDS.format("coalesce(question, '') || ' ' || coalesce(evidence, '')")
+
+
+def _windows(name: str, table: str, key: str) -> str:
+    return f"{name} AS (SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {leaks.RUN_WORDS - 2}), lambda i: array_to_string(w[i:i + {leaks.RUN_WORDS - 1}], ' '))) g FROM (SELECT {key}, {_WORDS.format('text')} w FROM {table}))"
+
+
 SQL = {
+    "p2_found": f"""WITH w AS (SELECT record_id r, unnest(list_distinct({_QUESTION})) t FROM dev_tied_append), n AS (SELECT r, count(*) n FROM w GROUP BY r),
+c AS (SELECT x.r a, y.r b, count(*) c FROM w x JOIN w y ON x.t = y.t AND x.r < y.r GROUP BY ALL)
+SELECT a record_a, b record_b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE c / (x.n + y.n - c) >= {SIMILARITY} - 1e-12""",
+    "p8_found": f"WITH {_windows('d', 'documents', 'doc_id')}, {_windows('i', 'eval_items', 'item_id')} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
     "p5_found": _STRATA + "select a db_id, b difficulty from c, s where n < greatest(least, size * bp // 10000)",
     "p7_found": _TIES + "select a db_a, b db_b from r where a < b",
 }
