@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: How fenced answers and the tables of a query are recognised.
+SQL_BLOCK = r"(?is)```sql\n(.*?)\n```"
+ANY_BLOCK = r"(?is)```(.*?)```"
+TABLE_AFTER = r"(?i)\b(?:from|join|update|into)\s+[`\"]?([A-Za-z_][A-Za-z0-9_]*)[`\"]?"
+
+
 def one_line(c: Column) -> Column:
     """Questions compare with runs of white space as one blank, trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
@@ -18,8 +24,8 @@ def one_line(c: Column) -> Column:
 
 def extract_sql(c: Column) -> Column:
     """The query of an answer: its last sql-marked block, else its last fenced block, else the text on one line."""
-    marked = F.regexp_extract_all(c, F.lit(r"(?is)```sql\n(.*?)\n```"), F.lit(1))
-    fenced = F.regexp_extract_all(c, F.lit(r"(?is)```(.*?)```"), F.lit(1))
+    marked = F.regexp_extract_all(c, F.lit(SQL_BLOCK), F.lit(1))
+    fenced = F.regexp_extract_all(c, F.lit(ANY_BLOCK), F.lit(1))
     last = lambda a: F.regexp_replace(F.element_at(a, -1), r"^\s+|\s+$", "")
     bare = F.replace(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
     return F.when(F.size(marked) > 0, last(marked)).when(F.size(fenced) > 0, last(fenced)).otherwise(bare)
@@ -27,7 +33,7 @@ def extract_sql(c: Column) -> Column:
 
 def referenced_tables(c: Column) -> Column:
     """Tables named after FROM, JOIN, UPDATE or INTO, in order, each once; null, empty and failed answers name none."""
-    found = F.regexp_extract_all(c, F.lit(r"(?i)\b(?:from|join|update|into)\s+[`\"]?([A-Za-z_][A-Za-z0-9_]*)[`\"]?"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(TABLE_AFTER), F.lit(1))
     return F.when(c.isNull() | (c == "") | (c == "ERROR"), F.array().cast("array<string>")).otherwise(F.array_distinct(found))
 
 

@@ -19,6 +19,8 @@ STOPWORDS = tuple(
     "the and for with from that this what which who whom whose when where into than then have has had been were was are is does did how "
     "much many more most least all not out list show give tell find year years month months between against among each per total average".split()
 )
+#: Fixed value: what a search word looks like, in lower case.
+SEARCH_WORD = "[a-z][a-z0-9_]+"
 
 
 # -- dense
@@ -94,7 +96,7 @@ def short_key(key: Column) -> Column:
 def keywords(*texts: Column) -> Column:
     """Distinct search words: Latin words of at least three characters that are no stopword."""
     text = F.lower(F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in texts]))
-    words = F.regexp_extract_all(text, F.lit("[a-z][a-z0-9_]+"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(SEARCH_WORD), F.lit(0))
     return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) >= LEAST_TOKEN), F.array(*map(F.lit, STOPWORDS)))
 
 
