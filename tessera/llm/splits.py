@@ -14,7 +14,7 @@ from tessera.llm.components import components
 from tessera.operators.prefix import running_sum
 from tessera.plans.cluster import cut
 
-BUCKETS = 256
+BUCKETS, BIG = 256, 50
 
 
 def ties(rows: DataFrame) -> DataFrame:
@@ -42,8 +42,10 @@ def component_rows(rows: DataFrame) -> DataFrame:
 def assign_splits(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, component, split_name) of every row; ``targets`` (split_name, target_bp) is a short stated list.
 
-    A component larger than half the smallest split is placed first, where most room is left (there are at most
-    2 / smallest share of them); the others follow in hash order and fill what remains of each split in turn.
+    A component larger than a ``BIG``-th of the smallest split is placed first, the largest first: where the largest part of
+    the room is left among the splits of which it would take at most a quarter of the room, else where most room is left.
+    There are at most BIG / smallest share of these, whatever the input.  All others follow in hash order and fill what
+    remains of each split in turn, so that shares are met to about a BIG-th.
     Null a and b make a row its own component; no rows give no rows.
     """
     shares = [(r["split_name"], int(r["target_bp"])) for r in targets.where("split_name is not null and target_bp > 0").orderBy(F.desc("target_bp"), "split_name").limit(1000).collect()]
@@ -52,15 +54,16 @@ def assign_splits(rows: DataFrame, targets: DataFrame) -> DataFrame:
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     whole = sum(bp for _, bp in shares)
     room = {name: total * bp / whole for name, bp in shares}
-    big = max(1.0, min(room.values()) / 2)
+    goal, big = dict(room), max(1.0, min(room.values()) / BIG)
     placed = []
     for r in sizes.where(F.col("n") > big).orderBy(F.desc("n"), "component").collect():  # bounded: each holds a fixed share of all rows
-        name = max(room, key=lambda s: room[s])
+        fits = [x for x in room if r["n"] <= room[x] / 4]
+        name = max(fits, key=lambda x: room[x] / goal[x]) if fits else max(room, key=lambda x: room[x])
         room[name] -= r["n"]
         placed.append((r["component"], name))
     rest = running_sum(sizes.where(F.col("n") <= big).withColumn("key", F.xxhash64("component")).withColumn("g", F.lit(0)), ["g"], "key", "component", "n", BUCKETS)
     left = sum(max(0.0, v) for v in room.values())
-    rows_left = total - sum(r for r in [sizes.where(F.col("n") > big).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]])
+    rows_left = sizes.where(F.col("n") <= big).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     choice, upto = F.lit(shares[-1][0]), 0.0
     marks = []
     for name, _ in shares:
