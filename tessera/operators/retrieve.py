@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.provider import Provider
+from tessera.plans.cluster import cut
 
 TOP_K, LEAST_SCORE, EMBED_BATCH, QUERY_BLOCK = 5, 0.35, 8, 4096
 MAX_TABLES, MAX_COLUMNS, LEAST_TOKEN = 4, 4, 3
@@ -45,43 +46,56 @@ def embed(texts: DataFrame, provider: Provider, key: str = "key", text: str = "t
     return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key string, embedding array<float>")
 
 
+def _block_topk(held, k: int):
+    """The k best rows of a task for each broadcast query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, q, qn = held.value
+        best: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf["v"]]]
+            if not len(pdf):
+                continue
+            x, xid = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
+            s = (q @ x.T) / (qn[:, None] * np.linalg.norm(x, axis=1)[None, :] + 1e-10)
+            take = min(k, s.shape[1])
+            kth = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take][:, None]
+            r, c = np.nonzero(s >= kth)
+            new = pd.DataFrame({"query": qid[r], "id": xid[c], "score": s[r, c]})
+            best = new if best is None else pd.concat([best, new])
+            best = best.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
+        if best is not None:
+            yield best
+
+    return run
+
+
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int = TOP_K, least: float | None = LEAST_SCORE, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, rank, id, score): the k rows most similar to each query, exactly; ties go to the smaller id.
 
-    ``queries`` and ``rows`` have (id, v).  The queries are a stated set: they are taken in blocks of ``block`` rows, each
-    broadcast while all rows stream past; every task keeps its own k best per query, so little is shuffled.  Null vectors
+    ``queries`` and ``rows`` have (id, v).  The queries are a stated set: they are taken in blocks of about ``block`` rows,
+    each broadcast while all rows stream past; every task keeps its own k best per query, so little is shuffled.  Null vectors
     and vectors of another length score nothing; zero vectors score zero.
     """
     spark = rows.sparkSession
-    asked = [(r["id"], r["v"]) for r in queries.where("v is not null").select("id", "v").orderBy("id").toLocalIterator()]
     schema = "query long, id long, score double"
+    some = queries.where("v is not null").select("id", "v")
+    parts = max(1, -(-some.count() // block))
     out = spark.createDataFrame([], schema)
-    for lo in range(0, len(asked), block):
-        part = asked[lo : lo + block]
-        width = max(len(v) for _, v in part)
-        ids = np.array([i for i, v in part if len(v) == width])
-        m = np.array([v for _, v in part if len(v) == width], np.float64)
-        held = spark.sparkContext.broadcast((ids, m, np.linalg.norm(m, axis=1)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qid, q, qn = held.value
-            best: pd.DataFrame | None = None
-            for pdf in batches:
-                pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf["v"]]]
-                if not len(pdf):
-                    continue
-                x, xid = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
-                s = (q @ x.T) / (qn[:, None] * np.linalg.norm(x, axis=1)[None, :] + 1e-10)
-                take = min(k, s.shape[1])
-                kth = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take][:, None]
-                r, c = np.nonzero(s >= kth)
-                new = pd.DataFrame({"query": qid[r], "id": xid[c], "score": s[r, c]})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
-            if best is not None:
-                yield best
-
-        out = out.union(rows.where("v is not null").select("id", "v").mapInPandas(run, schema))
+    for i in range(parts):
+        # about ``block`` queries; never all of them at once on the driver
+        asked = some.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).orderBy("id").collect()
+        if not asked:
+            continue
+        width = max(len(r["v"]) for r in asked)
+        asked = [r for r in asked if len(r["v"]) == width]
+        m = np.array([r["v"] for r in asked], np.float64)
+        held = spark.sparkContext.broadcast((np.array([r["id"] for r in asked]), m, np.linalg.norm(m, axis=1)))
+        near = rows.where("v is not null").select("id", "v").mapInPandas(_block_topk(held, k), schema)
+        if parts > 1:
+            near = cut(near)
+            held.destroy()
+        out = out.union(near)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.where(F.col("score") > least).select("query", "rank", "id", "score") if least is not None else ranked.select("query", "rank", "id", "score")
 
