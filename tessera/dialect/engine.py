@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.dialect.parse import parse
+from tessera.dialect.parse import SqlError, parse
 from tessera.dialect.write import Writer, kind_of
 
+_CALLS = itertools.count()
 AS_OF = dt.datetime(2024, 1, 1)
 
 
@@ -37,8 +39,21 @@ class Dialect:
         return translate(sql, self.columns, self.as_of)
 
     def sql(self, sql: str) -> DataFrame:
-        text = self.translate(sql)
-        for name, df in self.frames.items():
-            if name in text.lower():
-                df.createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        """The result of a query.  Its tables are views under names of this call alone, only while the query is analysed, so
+        that databases with equal table names and queries in other threads do not meet."""
+        tag, used = f"tessera_{next(_CALLS)}_", {}
+
+        def view(name: str) -> str:
+            if name.lower() in self.frames:
+                used[name.lower()] = tag + name.lower()
+                return used[name.lower()]
+            raise SqlError(f"no such table: {name}")
+
+        text = Writer(self.columns, self.as_of, view).query(parse(sql))[0]
+        try:
+            for name, at in used.items():
+                self.frames[name].createOrReplaceTempView(at)
+            return self.spark.sql(text)
+        finally:
+            for at in used.values():
+                self.spark.catalog.dropTempView(at)

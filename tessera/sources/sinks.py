@@ -35,6 +35,16 @@ def write_table(df: DataFrame, path: str) -> None:
     os.replace(f"{path}.tmp", path)
 
 
+def write_vectors(df: DataFrame, path: str, key: str = "key", embedding: str = "embedding") -> None:
+    """A vector index as Parquet: key and array<float>."""
+    write_table(df.selectExpr(f"`{key}` AS key", f"CAST(`{embedding}` AS array<float>) AS embedding"), path)
+
+
+def namespace(root: str, name: str | None = None, variable: str = "TESSERA_NAMESPACE") -> str:
+    """The folder of a knowledge base below ``root``: by name, else by the environment variable, else the default one."""
+    return os.path.join(root, slug(name or os.environ.get(variable, "") or "default"))
+
+
 def slug(text: str) -> str:
     return re.sub(r"[^A-Za-z0-9._-]+", "_", text).strip("_") or "run"
 

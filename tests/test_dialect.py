@@ -146,6 +146,15 @@ def test_unknown_names_are_errors(small):
     for text in ("SELECT nope FROM t", "SELECT t.nope FROM t", "SELECT nofunction(k) FROM t"):
         with pytest.raises(SqlError):
             small[1].translate(text)
+    with pytest.raises(SqlError):
+        small[1].sql("SELECT 1 FROM elsewhere")
+
+
+def test_databases_do_not_meet(spark):
+    a, b = (Dialect(spark, {"t": spark.createDataFrame([(x,)], "x string")}) for x in "ab")
+    ra, rb = a.sql("SELECT x FROM T"), b.sql("SELECT t.x FROM t")
+    assert ra.collect()[0].x == "a" and rb.collect()[0].x == "b"
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_")]
 
 
 def test_clock_is_pinned(small):
