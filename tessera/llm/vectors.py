@@ -4,10 +4,10 @@ Unit vectors are turned by fast Hadamard pseudo-rotations (sign flips and a Wals
 assigned to the nearest signed axis.  In each of ``tables`` independent tables a vector is stored under its nearest axis
 and looks up its ``probes`` nearest; candidates of a bucket are reranked by exact cosine.
 
-Buckets follow the data: one with more than ``bucket_rows`` rows is split by the axes of further rotations (up to three
-levels), and what is then still too large, a dense cluster, is cut into blocks that all meet each other exactly.  So no
-candidate is dropped and no task holds more than two blocks.  Equal vectors collapse to one class first.  Vectors travel
-as float32; cosines are taken in float64 of these values.
+A bucket with more than ``bucket_rows`` rows is cut into blocks of asking and of stored rows, and all of them meet each
+other exactly.  So the candidates, and with them the recall, are the same whatever the size of the buckets, and no task
+holds more than two blocks; the price is that comparisons grow with the square of a bucket.  Equal vectors collapse to
+one class first.  Vectors travel as float32; cosines are taken in float64 of these values.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.cluster import cut
 
-TABLES, PROBES, LEVELS, BUCKET_ROWS, SEED = 10, 3, 3, 4096, 20240229
+TABLES, PROBES, BUCKET_ROWS, SEED = 10, 3, 4096, 20240229
 
 
 def sound(rows: DataFrame, dim: int) -> DataFrame:
@@ -64,7 +64,7 @@ def _hash(dim: int, tables: int, probes: int, seed: int):
     full = 1 << (dim - 1).bit_length()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signs = rotations(full, tables * LEVELS, seed)
+        signs = rotations(full, tables, seed)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -72,11 +72,9 @@ def _hash(dim: int, tables: int, probes: int, seed: int):
             raw = np.stack(pdf["v"].to_numpy())
             x[:, :dim] = raw / np.linalg.norm(raw, axis=1, keepdims=True)
             for t in range(tables):
-                first = nearest_axes(x, signs[t * LEVELS], probes)
-                second = nearest_axes(x, signs[t * LEVELS + 1], 2)
-                third = nearest_axes(x, signs[t * LEVELS + 2], 1)[:, 0]
+                axes = nearest_axes(x, signs[t], probes)
                 for p in range(probes):
-                    yield pd.DataFrame({"rep": pdf["rep"], "t": t, "a": first[:, p], "b": second[:, 0], "b2": second[:, 1], "c": third, "store": p == 0})
+                    yield pd.DataFrame({"rep": pdf["rep"], "t": t, "a": axes[:, p], "store": p == 0})
 
     return run
 
@@ -117,28 +115,19 @@ def _rerank(dim: int, k: int):
 
 def nearest_classes(classes: DataFrame, dim: int, k: int, tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
     """(q, near): for each class its candidates, best first, at most k structs (cos, c); ties go to the smaller id."""
-    hashed = classes.select("rep", "v").mapInPandas(_hash(dim, tables, probes, seed), "rep long, t int, a int, b int, b2 int, c int, store boolean")
+    hashed = classes.select("rep", "v").mapInPandas(_hash(dim, tables, probes, seed), "rep long, t int, a int, store boolean")
     hashed = cut(hashed)  # keys only; vectors are joined once their place is known
-    # which prefixes hold too many rows: counts only, no vectors; at most rows * tables / bucket_rows prefixes are hot
-    tally = cut(hashed.groupBy("t", "a", "b", "c").agg(F.count("*").alias("n")))
-    hot1 = tally.groupBy("t", "a").agg(F.sum("n").alias("n1")).where(F.col("n1") > bucket_rows)
-    hot2 = tally.join(hot1, ["t", "a"]).groupBy("t", "a", "b").agg(F.sum("n").alias("n2")).where(F.col("n2") > bucket_rows)
-    hot3 = tally.join(hot2, ["t", "a", "b"]).groupBy("t", "a", "b", "c").agg(F.sum("n").alias("n3")).where(F.col("n3") > bucket_rows)
-    # in a split bucket a vector also looks up its second axis of the next level
-    again = hashed.join(hot1.select("t", "a"), ["t", "a"]).select("rep", "t", "a", F.col("b2").alias("b"), "c", F.lit(False).alias("store"))
-    placed = hashed.drop("b2").unionByName(again).join(hot1, ["t", "a"], "left").join(hot2, ["t", "a", "b"], "left").join(hot3, ["t", "a", "b", "c"], "left")
-    blocks = F.when(F.col("n3").isNull(), 1).otherwise(F.ceil(F.col("n3") / bucket_rows)).cast("int")
+    # which buckets hold too many rows: counts only, no vectors; at most rows * tables * probes / bucket_rows buckets are hot
+    hot = hashed.groupBy("t", "a").agg(F.count("*").alias("n"), F.count_if("store").alias("stored")).where(F.col("n") > bucket_rows)
+    hot = hot.select("t", "a", F.ceil(F.col("n") / bucket_rows).cast("int").alias("ni"), F.greatest(F.ceil(F.col("stored") / bucket_rows), F.lit(1)).cast("int").alias("nj"))
     vectors = classes.select("rep", "v").mapInPandas(_packed, "rep long, vec binary")
-    placed = placed.join(vectors, "rep").select(
-        "rep", "vec", "store", "t", "a",
-        F.when(F.col("n1").isNotNull(), F.col("b")).otherwise(-1).alias("b"),
-        F.when(F.col("n2").isNotNull(), F.col("c")).otherwise(-1).alias("c"),
-        blocks.alias("nb"),
-    ).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    # in a block pair (i, j) rows of block j are held and rows of block i ask; one block: both at once
-    asks = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")).select("rep", "vec", "t", "a", "b", "c", F.col("mine").alias("i"), "j", (F.col("store") & (F.col("nb") == 1)).alias("store"), F.lit(True).alias("ask"))
-    held = placed.where("store and nb > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i")).select("rep", "vec", "t", "a", "b", "c", "i", F.col("mine").alias("j"), F.lit(True).alias("store"), F.lit(False).alias("ask"))
-    scored = asks.unionByName(held).groupBy("t", "a", "b", "c", "i", "j").applyInPandas(_rerank(dim, k), "q long, c long, cos double")
+    placed = hashed.join(hot, ["t", "a"], "left").join(vectors, "rep").select("rep", "vec", "store", "t", "a", F.coalesce("ni", F.lit(1)).alias("ni"), F.coalesce("nj", F.lit(1)).alias("nj"), F.xxhash64("rep").alias("h"))
+    # in a block pair (i, j) stored rows of block j are held and rows of block i ask; one pair: both at once
+    part = lambda n: F.pmod("h", n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = placed.select("rep", "vec", "t", "a", part("ni").alias("i"), each("nj").alias("j"), (F.col("store") & (F.col("ni") == 1)).alias("store"), F.lit(True).alias("ask"))
+    held = placed.where("store and ni > 1").select("rep", "vec", "t", "a", each("ni").alias("i"), part("nj").alias("j"), F.lit(True).alias("store"), F.lit(False).alias("ask"))
+    scored = asks.unionByName(held).groupBy("t", "a", "i", "j").applyInPandas(_rerank(dim, k), "q long, c long, cos double")
     best = scored.repartition("q").groupBy("q", "c").agg(F.max("cos").alias("cos"))
     return best.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("far"), "c"))), 1, k).alias("near"))
 

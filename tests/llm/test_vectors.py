@@ -57,3 +57,11 @@ def test_dense_cluster_meets_in_blocks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
     got, want = found(V.nearest_rows(df, 16, 5, bucket_rows=16)), truth(np.arange(200), x, 5)
     assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.99 * 1000
+
+
+def test_split_buckets_lose_no_neighbour(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    whole, split = (found(V.nearest_rows(df, 16, 5, tables=4, bucket_rows=n)) for n in (10_000, 20))
+    assert split == whole
