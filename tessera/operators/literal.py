@@ -16,10 +16,11 @@ def text_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t == "string" or t.startswith(("char", "varchar"))]
 
 
-def literal_index(tables: Mapping[str, DataFrame], per_column: int = PER_COLUMN) -> DataFrame:
+def literal_index(tables: Mapping[str, DataFrame], per_column: int | None = PER_COLUMN) -> DataFrame:
     """(value, columns): trimmed values and the sorted ``table.column`` names that hold them.
 
-    Of each column the first ``per_column`` distinct values in text order are indexed: the size of the index is the feature.
+    Of each column the first ``per_column`` distinct values in text order are indexed: the size of the index is the feature;
+    None indexes all of them, for linking.
     Nulls and blanks are left out.  The group limit runs before the shuffle, so a huge column sends few values.
     """
     parts = []
@@ -31,11 +32,13 @@ def literal_index(tables: Mapping[str, DataFrame], per_column: int = PER_COLUMN)
     if not parts:
         raise ValueError("no table has a text column")
     distinct = reduce(DataFrame.union, parts).distinct()
-    kept = distinct.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("r") <= per_column)
+    kept = distinct
+    if per_column is not None:
+        kept = distinct.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("r") <= per_column)
     return kept.groupBy("value").agg(F.array_sort(F.collect_set("column")).alias("columns"))
 
 
-def grams(text, n: int = LEAST_CHARS):
+def grams(text, n=LEAST_CHARS):
     """Distinct n-character pieces of a lower-cased text."""
     t = F.lower(text)
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
@@ -44,12 +47,17 @@ def grams(text, n: int = LEAST_CHARS):
 def literal_links(questions: DataFrame, index: DataFrame) -> DataFrame:
     """(id, column): columns of the values that occur in a question, whatever their case; values of under four characters are noise.
 
-    ``questions`` has (id, question).  A value that occurs shares its first four characters with the question, so both meet
-    by an equi-join on four-character pieces and are verified; no question is compared with every value.
+    ``questions`` has (id, question).  A value that occurs shares its first four characters with the question, and its first
+    8, 16 or 32 as far as it is that long.  Questions meet the few distinct beginnings first, then by an equi-join the values
+    of the longest one, so many values of one beginning (``Customer#...``) meet no question that has only that beginning.
     """
-    lit = index.where(F.length("value") >= LEAST_CHARS).select(F.lower("value").alias("low"), F.substring(F.lower("value"), 1, LEAST_CHARS).alias("g"), "columns")
+    low = F.lower("value")
+    n = F.when(F.length(low) >= 32, 32).when(F.length(low) >= 16, 16).when(F.length(low) >= 8, 8).otherwise(LEAST_CHARS)
+    lit = index.where(F.length("value") >= LEAST_CHARS).select(low.alias("low"), n.alias("n"), low.substr(F.lit(1), n).alias("head"), "columns")
+    starts = lit.select(F.substring("head", 1, LEAST_CHARS).alias("g"), "n").distinct()
     q = questions.where("question is not null").select("id", F.lower("question").alias("q"), F.explode(grams(F.col("question"))).alias("g"))
-    hit = q.join(lit, "g").where(F.contains("q", "low"))
+    near = q.join(starts, "g").select("id", "q", F.explode(F.filter(grams(F.col("q"), F.col("n")), lambda x: F.startswith(x, F.col("g")))).alias("head"))
+    hit = near.join(lit, "head").where(F.contains("q", "low"))
     return hit.select("id", F.explode("columns").alias("column")).distinct()
 
 

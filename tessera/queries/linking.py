@@ -22,8 +22,8 @@ CATALOG = [
 TABLE_NOTES = [("dev_tied_append", "questions with hints"), ("eval_results", "answers held against records"), ("vector_index", "vectors of columns"), ("documents", "texts of threads"), ("run_history", "summaries of runs"), ("db_list", "databases by name")]
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return literal.literal_index({t: table(spark, d, t) for t in INDEXED})
+def _index(spark: SparkSession, d: str, per_column: int | None = literal.PER_COLUMN) -> DataFrame:
+    return literal.literal_index({t: table(spark, d, t) for t in INDEXED}, per_column)
 
 
 def literal_index(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,8 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def literal_link(spark: SparkSession, d: str) -> DataFrame:
-    return literal.literal_links(_questions(spark, d), _index(spark, d))
+    """Columns whose values a question names, of all their distinct values."""
+    return literal.literal_links(_questions(spark, d), cut(_index(spark, d, None)))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:

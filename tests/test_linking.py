@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import provider, texts
 from tessera.operators import knowledge, literal, retrieve
+from tessera.queries import linking
 
 
 def test_literal_index_and_links(spark):
@@ -105,3 +106,12 @@ def test_knowledge(spark):
     c = spark.createDataFrame([(1, 7, "a", "x"), (2, 7, "z", "How many?"), (3, 9, "a", " How\nmany? "), (4, 8, None, "q"), (5, None, "c", "Who?"), (6, None, None, None)], "id long, question_id long, db_id string, question string")
     got = {r.id: (r.evidence, r.match_type) for r in knowledge.resolve(c, k).collect()}
     assert got == {1: ("new", "question_id"), 2: (None, None), 3: ("new", "db_id+question"), 4: ("", "question_id"), 5: ("text", "db_id+question"), 6: (None, None)}
+
+
+def test_literal_link_reads_values_beyond_the_index(spark, tmp_path):
+    for t in linking.INDEXED:
+        names = [(f"Customer#{i:09d}",) for i in range(1500)] if t == "customer" else [(f"only {t}",)]
+        spark.createDataFrame(names, "name string").coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    asked = [(1, "What did customer#000001234 order?", ""), (2, "Which customers?", ""), (3, "customer#000000007", "")]
+    spark.createDataFrame(asked, "record_id long, question string, evidence string").write.parquet(f"{tmp_path}/dev_tied_append.parquet")
+    assert {(r.id, r.column) for r in linking.literal_link(spark, str(tmp_path)).collect()} == {(1, "customer.name"), (3, "customer.name")}
