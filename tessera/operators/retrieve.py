@@ -74,8 +74,8 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, k: int = TOP_K, least: floa
     """(query, rank, id, score): the k rows most similar to each query, exactly; ties go to the smaller id.
 
     ``queries`` and ``rows`` have (id, v).  The queries are a stated set: they are taken in blocks of about ``block`` rows,
-    each broadcast while all rows stream past; every task keeps its own k best per query, so little is shuffled.  Null vectors
-    and vectors of another length score nothing; zero vectors score zero.
+    each broadcast, by length of vector, while all rows stream past; every task keeps its own k best per query, so little is shuffled.  Null vectors
+    score nothing, others only against those of their length; zero vectors score zero.
     """
     spark = rows.sparkSession
     schema = "query long, id long, score double"
@@ -85,17 +85,15 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, k: int = TOP_K, least: floa
     for i in range(parts):
         # about ``block`` queries; never all of them at once on the driver
         asked = some.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).orderBy("id").collect()
-        if not asked:
-            continue
-        width = max(len(r["v"]) for r in asked)
-        asked = [r for r in asked if len(r["v"]) == width]
-        m = np.array([r["v"] for r in asked], np.float64)
-        held = spark.sparkContext.broadcast((np.array([r["id"] for r in asked]), m, np.linalg.norm(m, axis=1)))
-        near = rows.where("v is not null").select("id", "v").mapInPandas(_block_topk(held, k), schema)
-        if parts > 1:
-            near = cut(near)
-            held.destroy()
-        out = out.union(near)
+        for width in sorted({len(r["v"]) for r in asked}):
+            same = [r for r in asked if len(r["v"]) == width]
+            m = np.array([r["v"] for r in same], np.float64)
+            held = spark.sparkContext.broadcast((np.array([r["id"] for r in same]), m, np.linalg.norm(m, axis=1)))
+            near = rows.where("v is not null").select("id", "v").mapInPandas(_block_topk(held, k), schema)
+            if parts > 1:
+                near = cut(near)
+                held.destroy()
+            out = out.union(near)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.where(F.col("score") > least).select("query", "rank", "id", "score") if least is not None else ranked.select("query", "rank", "id", "score")
 

@@ -115,3 +115,9 @@ def test_literal_link_reads_values_beyond_the_index(spark, tmp_path):
     asked = [(1, "What did customer#000001234 order?", ""), (2, "Which customers?", ""), (3, "customer#000000007", "")]
     spark.createDataFrame(asked, "record_id long, question string, evidence string").write.parquet(f"{tmp_path}/dev_tied_append.parquet")
     assert {(r.id, r.column) for r in linking.literal_link(spark, str(tmp_path)).collect()} == {(1, "customer.name"), (3, "customer.name")}
+
+
+def test_cosine_topk_takes_queries_of_every_length(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])], "id long, v array<double>")
+    ask = spark.createDataFrame([(7, [1.0, 0.1]), (8, [1.0, 0.1, 0.0])], "id long, v array<double>")
+    assert sorted((r.query, r.rank, r.id) for r in retrieve.cosine_topk(ask, rows, 5, None).collect()) == [(7, 1, 1), (7, 2, 2), (8, 1, 3)]
