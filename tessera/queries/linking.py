@@ -56,9 +56,9 @@ def column_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_link(spark: SparkSession, d: str) -> DataFrame:
-    """Columns linked by literals, together with those linked by the offline stub's vectors."""
+    """Columns linked by literals, together with those linked by the offline stub's vectors, of every question."""
     docs = cut(retrieve.embed(column_documents(spark, d), StubProvider()).withColumn("id", F.xxhash64("key")))
-    asked = retrieve.embed(_questions(spark, d).where("id % 50 = 0").select(F.col("id").cast("string").alias("key"), F.col("question").alias("text")), StubProvider())
+    asked = retrieve.embed(_questions(spark, d).select(F.col("id").cast("string").alias("key"), F.col("question").alias("text")), StubProvider())
     asked = cut(asked.select(F.col("key").cast("long").alias("id"), F.col("embedding").alias("v")))
     near = retrieve.cosine_topk(asked, docs.select("id", F.col("embedding").alias("v")), least=None)
     linked = near.join(docs.select("id", "key"), "id").select(F.col("query").alias("id"), retrieve.short_key(F.col("key")).alias("column"))

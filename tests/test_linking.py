@@ -121,3 +121,14 @@ def test_cosine_topk_takes_queries_of_every_length(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])], "id long, v array<double>")
     ask = spark.createDataFrame([(7, [1.0, 0.1]), (8, [1.0, 0.1, 0.0])], "id long, v array<double>")
     assert sorted((r.query, r.rank, r.id) for r in retrieve.cosine_topk(ask, rows, 5, None).collect()) == [(7, 1, 1), (7, 2, 2), (8, 1, 3)]
+
+
+def test_hybrid_link_embeds_every_question(spark, tmp_path):
+    for t in linking.INDEXED:
+        spark.createDataFrame([(f"only {t}",)], "name string").coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    asked = [(i, "accuracy and mode of a run", "") for i in (1, 7, 50)]
+    spark.createDataFrame(asked, "record_id long, question string, evidence string").write.parquet(f"{tmp_path}/dev_tied_append.parquet")
+    got = {}
+    for r in linking.hybrid_link(spark, str(tmp_path)).collect():
+        got.setdefault(r.id, set()).add(r.column)
+    assert set(got) == {1, 7, 50} and len(got[50]) == 5 and got[1] == got[7] == got[50]
