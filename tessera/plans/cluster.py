@@ -2,34 +2,65 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only where it is unset (tests) make a local one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of this application: the one ``spark.checkpoint.dir`` names; a local one only under a local master (tests)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+_written: list[str] = []
+
+
+def _forget(sc) -> None:
+    """Deletes the tables of this application; at its end, or by ``release``."""
+    while _written:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shared folder once no result of this session is read any more."""
+    _forget(spark.sparkContext)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later stages neither recompute it nor hang on an executor.
+    """Write ``df`` as a table in the shared checkpoint folder and go on from there.
 
-    The new plan keeps none of the optimiser's guesses about the old one: sizes estimated for joins multiply over the rounds
-    of an iteration until planning takes longer than the work.  Adaptive execution sees the real sizes.
+    Later stages neither recompute it nor hang on an executor; the scan of the table has true sizes and column statistics, so
+    that joins are planned by size and unused columns are not read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_end, spark.sparkContext)
+    _written.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _end(sc) -> None:
     try:
-        fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
-    except Exception:  # another session class: the checkpointed plan as it is
-        return done
-    return DataFrame(fresh, df.sparkSession)
+        _forget(sc)
+    except Exception:  # the application is gone already
+        pass
 
 
 _shipped: set[str] = set()
