@@ -2,8 +2,9 @@
 
 Each level expands many seeds at once: every node whose hash is smallest among its neighbours is a seed, seeds spread over
 a few hops, and edges between differently labelled nodes become the edges of a smaller label graph, in which the colliding
-labels are merged the same way.  A label graph of at most ``SMALL_GRAPH_EDGES`` edges (a constant, whatever the input) is
-merged by union-find inside one executor task; nothing is collected to the driver.
+labels are merged the same way.  Every graph, however small, goes through at least one such level; only a label graph of
+colliding seeds with at most ``SMALL_GRAPH_EDGES`` edges (a constant, whatever the input) is merged by union-find inside
+one executor task, a larger one goes another level.  Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -65,10 +66,7 @@ def components(edges: DataFrame, small: int = SMALL_GRAPH_EDGES) -> DataFrame:
     one = edges.where("src is not null and dst is not null and src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     work, found = cut(one.distinct()), []
     while True:
-        n = work.count()
-        if n <= small:
-            found.append(work.coalesce(1).mapInPandas(_merge_small, _pair_schema(work)))
-            break
+        # adjacency lists, hash-partitioned by node and written once for all hops of the level
         both = cut(work.union(work.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).repartition("src"))
         labels = cut(_level(both))
         found.append(labels)
@@ -77,6 +75,9 @@ def components(edges: DataFrame, small: int = SMALL_GRAPH_EDGES) -> DataFrame:
         work = cut(
             work.join(a, "src").join(b, "dst").where("la <> lb").select(F.least("la", "lb").alias("src"), F.greatest("la", "lb").alias("dst")).distinct()
         )
+        if work.count() <= small:
+            found.append(work.coalesce(1).mapInPandas(_merge_small, _pair_schema(work)))
+            break
     result = found.pop()
     while found:
         lower, upper = found.pop(), result.select(F.col("node").alias("label"), F.col("label").alias("up"))

@@ -14,7 +14,7 @@ from tessera.llm.components import components
 from tessera.operators.prefix import running_sum
 from tessera.plans.cluster import cut
 
-BUCKETS, BIG = 256, 50
+BUCKETS, BIG, MOST_SPLITS = 256, 50, 1000
 
 
 def ties(rows: DataFrame) -> DataFrame:
@@ -48,7 +48,12 @@ def assign_splits(rows: DataFrame, targets: DataFrame) -> DataFrame:
     remains of each split in turn, so that shares are met to about a BIG-th.
     Null a and b make a row its own component; no rows give no rows.
     """
-    shares = [(r["split_name"], int(r["target_bp"])) for r in targets.where("split_name is not null and target_bp > 0").orderBy(F.desc("target_bp"), "split_name").limit(1000).collect()]
+    stated = targets.where("split_name is not null and target_bp > 0").orderBy(F.desc("target_bp"), "split_name").limit(MOST_SPLITS + 1).collect()
+    if len(stated) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    shares = [(r["split_name"], int(r["target_bp"])) for r in stated]
+    if not shares:
+        raise ValueError("no split has a positive share")
     member = cut(component_rows(rows))
     sizes = cut(member.groupBy("component").agg(F.count("*").alias("n")))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
