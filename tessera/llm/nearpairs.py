@@ -1,25 +1,39 @@
 """Problem 2: near-duplicate records by a parity-sketch join.
 
-Let A and B be word sets with Jaccard similarity >= t.  Then |A ^ B| <= k = floor((1-t)/(1+t) (|A|+|B|)), and every pair
-is found in one of two exact ways:
-
-* Rare words (document frequency <= ``posting``) have postings bounded by that constant.  Pairs that share one are
-  candidates; band of sizes and the Hamming distance of 256-bit parity sketches, which never exceeds |A ^ B|, prune them.
-* Pairs that share no rare word must agree on frequent words alone: with alpha = ceil(t/(1+t) (|A|+|B|)) both have at
-  least alpha frequent words, and these differ in at most r = |Ac|+|Bc|-2 alpha.  Per class of (size, frequent words) of
-  both sides, the frequent words are dealt by hash into r+1 blocks and XOR-hashed; by the pigeonhole one block agrees.
+Every word flips one bit of a wide sketch (2^20 bits, kept as the list of bits it touches) and one of a folded sketch of 128
+bits that travels with the keys.  Let A and B be word sets of sizes a and b with Jaccard similarity >= t, and let
+c = ceil(t / (1 + t) (a + b)) be the least number of words they then share.  They differ in at most a + b - 2c words, and so
+do their sketches in as many bits: the Hamming distance never exceeds the symmetric difference.
+
+* Size bands.  Sizes fall into geometric bands; a pair of bands that can hold similar sets has its own keys, so that a set
+  knows the least size of its partner and with it the most bits m = a - c that the partner can lack.
+* Pigeonhole.  Of any m + 1 bits that A touches at least one is touched by B, of any m + d at least d.  Bits are taken in one
+  global order, the rarest first: the d first common bits of a pair lie among the first m + d bits of both sides.  So all
+  combinations of d such bits are keys, and similar sets agree in one.
+* Crowded keys split.  A key whose bits are so frequent that more than ``crowd`` sets are expected to hold it takes one bit
+  more, again and again.  The expectation follows from the bits of the key alone, so both sides take the same decision and
+  no pair is lost; depth grows with the logarithm of the number of sets.  No key has a cut-off and no set is left out.
+* Verification.  Pairs that meet are pruned by size and by the Hamming distance of the folded sketches, then compared by
+  their words.
 
 Equal word sets collapse to one class first, so groups of copies never meet themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.cluster import cut
 
-POSTING = 50  # words in at most this many distinct texts have a posting list
+SKETCH_BITS = 1 << 20  # counts of bits are held by the driver and broadcast: 4 MB, whatever the input
+CROWD, DAMP = 300, 0.5  # words go together, so a further bit counts with the root of its share of sets
+BANDS = 2  # size bands in the range of sizes that a set can be similar to
+CHUNK = 200_000  # words expanded at once
 
 
 def words(*cols: Column) -> Column:
@@ -48,70 +62,102 @@ def text_classes(rows: DataFrame) -> DataFrame:
     return sets.select("rep", "copies", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("tok"), F.size("words").alias("size"))
 
 
-def _hamming(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
+def band_edges(most: int, t: float) -> np.ndarray:
+    """Least sizes of the bands, up to the first beyond ``most``."""
+    step, edges = (1 / t) ** (1 / BANDS), [1]
+    while edges[-1] <= most:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * step + 1e-9)))
+    return np.array(edges, np.int64)
+
 
+def shared(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """The least number of common words of sets of these sizes with similarity >= t."""
+    return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
-def _close(sa: Column, sb: Column, a: str, b: str, t: float) -> Column:
-    k = F.floor(F.lit((1 - t) / (1 + t) + 1e-12) * (sa + sb))
-    return (sa >= F.ceil(sb * t - 1e-9)) & (sb >= F.ceil(sa * t - 1e-9)) & (_hamming(a, b) <= k)
 
+def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (x.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
-def similar_classes(classes: DataFrame, t: float, posting: int = POSTING) -> DataFrame:
-    """(a, b, similarity), a < b: every pair of ``classes`` (written, see text_classes) with Jaccard similarity >= t.
 
-    No cap drops a pair: frequent words are left to the second way, which is exact for them.
+def pigeonholes(size: np.ndarray, bits: np.ndarray, start: np.ndarray, share: np.ndarray, sets: int, t: float, crowd: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(row, key, side): the keys of each set; side 0 is the lower band of a pair of bands, 1 the upper one, 2 both.
+
+    ``bits`` are the ranks of the touched bits, ascending within each row of ``start``; ``share`` is the part of all sets that
+    hold the bit of a rank.
     """
-    base = cut(classes.select("rep", "size", "tok", parity_sketch(F.col("tok")).alias("sk")))
-    item = F.struct("rep", "size", "sk")
-    spread = base.select(F.explode("tok").alias("w"), item.alias("x"))
-    # the filter on row_number becomes a group limit before the shuffle: a hot word sends at most posting+1 rows a partition
-    few = spread.withColumn("rn", F.row_number().over(Window.partitionBy("w").orderBy("x.rep"))).where(F.col("rn") <= posting + 1)
-    lists = cut(few.groupBy("w").agg(F.collect_list("x").alias("xs")).where(F.size("xs") <= posting))
-    by_rare = (
-        lists.where(F.size("xs") > 1)
-        .select("xs", F.explode("xs").alias("a"))
-        .select("a", F.explode("xs").alias("b"))
-        .where((F.col("a.rep") < F.col("b.rep")) & _close(F.col("a.size"), F.col("b.size"), "a.sk", "b.sk", t))
-        .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    )
-    # frequent words of each class
-    rare = lists.select("w", F.explode("xs.rep").alias("rep")).groupBy("rep").agg(F.collect_list("w").alias("rare"))
-    split = base.join(rare, "rep", "left").select("rep", "size", "sk", F.array_except("tok", F.coalesce("rare", F.array().cast("array<bigint>"))).alias("fr"))
-    split = cut(split.withColumn("nf", F.size("fr")).where(F.col("nf") > 0))
-    kinds = split.groupBy("size", "nf").agg(F.count("*").alias("m"))
-    p, q = kinds.select(F.col("size").alias("s1"), F.col("nf").alias("f1"), F.col("m").alias("m1")), kinds.select(F.col("size").alias("s2"), F.col("nf").alias("f2"), F.col("m").alias("m2"))
-    # partner sizes are enumerated, so that kinds meet by an equi-join
-    lo, hi = F.ceil(F.col("s1") * t - 1e-9), F.floor(F.col("s1") / t + 1e-9)
-    alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("s1") + F.col("s2")) - 1e-9)
-    meet = (
-        p.withColumn("s2", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
-        .join(q, "s2")
-        .withColumn("alpha", alpha)
-        .where((F.col("f1") >= F.col("alpha")) & (F.col("f2") >= F.col("alpha")))
-        .where((F.col("s1") != F.col("s2")) | (F.col("f1") != F.col("f2")) | (F.col("m1") > 1))
-        .select("s1", "f1", "s2", "f2", (F.col("f1") + F.col("f2") - 2 * F.col("alpha") + 1).cast("int").alias("blocks"))
-    )
-    # a kind pair is listed once, with its smaller kind on side 0; a kind that meets itself stands on both sides
-    first = (F.struct("s1", "f1") <= F.struct("s2", "f2"))
-    tag = F.xxhash64(F.least("s1", "s2"), F.greatest("s1", "s2"), F.when(first, F.col("f1")).otherwise(F.col("f2")), F.when(first, F.col("f2")).otherwise(F.col("f1")))
-    same = (F.col("s1") == F.col("s2")) & (F.col("f1") == F.col("f2"))
-    sides = meet.select(F.col("s1").alias("size"), F.col("f1").alias("nf"), "blocks", tag.alias("tag"), same.alias("same"), F.when(first, 0).otherwise(1).alias("side"))
-    keyed = split.join(sides, ["size", "nf"]).select(
-        "rep", "size", "sk", "same", "side",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), F.col("blocks") - 1),
-                lambda i: F.xxhash64(F.col("tag"), i, _xor_where(F.col("fr"), lambda x: F.pmod(x, F.col("blocks")) == i, lambda x: F.xxhash64(x))),
-            )
-        ).alias("i", "key"),
-    )
-    left = keyed.where("side = 0").select("key", F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("sk").alias("ka"), "same")
-    right = keyed.where("side = 1 or same").select("key", F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("sk").alias("kb"))
-    by_frequent = left.join(right, "key").where(F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.lit(True))).where(_close(F.col("sa"), F.col("sb"), "ka", "kb", t))
-    candidates = by_rare.union(by_frequent.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    held = np.diff(start)
+    edges = band_edges(int(size.max() / t) + 1, t)
+    band = np.searchsorted(edges, size, side="right") - 1
+    first, last = np.ceil(size * t - 1e-9).astype(np.int64), np.floor(size / t + 1e-9).astype(np.int64)
+    reach = np.searchsorted(edges, first, side="right") - 1, np.searchsorted(edges, last, side="right") - 1
+    for step in range(int((reach[0] - band).min()), int((reach[1] - band).max()) + 1):
+        other = band + step
+        row = np.nonzero((other >= reach[0]) & (other <= reach[1]))[0]
+        if not len(row):
+            continue
+        lacks = size - shared(size, np.maximum(edges[np.clip(other, 0, len(edges) - 1)], first), t)
+        key = _mix(_mix(np.full(len(row), 7, np.uint64), np.minimum(band, other)[row]), np.maximum(band, other)[row])
+        at, expected, depth = np.zeros(len(row), np.int64), np.full(len(row), np.log(max(sets, 1))), 0
+        while len(row):
+            depth += 1
+            end = np.minimum(lacks[row] + depth, held[row])
+            many = np.maximum(0, end - at)
+            of = np.repeat(np.arange(len(row)), many)
+            place = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            bit = bits[start[row[of]] + place]
+            row, key, at = row[of], _mix(key[of], bit), place + 1
+            expected = expected[of] + np.log(share[bit]) * (1.0 if depth == 1 else DAMP)
+            crowded = expected > np.log(crowd)
+            # a pair may share no further bit: a key that holds the least number of common bits is final as well
+            final = ~crowded | (depth >= (held - lacks)[row])
+            yield row[final], key[final], 2 if step == 0 else int(step < 0)
+            row, key, at, expected = row[crowded], key[crowded], at[crowded], expected[crowded]
+
+
+def _keys(t: float, crowd: float, ranks, counts, sets: int):
+    def chunk(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        size = pdf["size"].to_numpy(np.int64)
+        row = np.repeat(np.arange(len(pdf)), size)
+        token = np.concatenate(pdf["tok"].to_list()).astype(np.int64)
+        touched = np.unique(row * SKETCH_BITS + ranks.value[token & (SKETCH_BITS - 1)])
+        start = np.searchsorted(touched, np.arange(len(pdf) + 1) * SKETCH_BITS)
+        rep, k0, k1 = (pdf[c].to_numpy(np.int64) for c in ("rep", "s0", "s1"))
+        for r, key, side in pigeonholes(size, touched % SKETCH_BITS, start, counts.value / max(1, sets), sets, t, crowd):
+            for lo in range(0, len(r), 100_000):
+                x = r[lo : lo + 100_000]
+                yield pd.DataFrame({"key": key[lo : lo + 100_000].view(np.int64), "rep": rep[x], "side": np.full(len(x), side, np.int32), "size": size[x].astype(np.int32), "k0": k0[x], "k1": k1[x]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(np.cumsum(pdf["size"].to_numpy()) // CHUNK, sort=False):
+                yield from chunk(part)
+
+    return run
+
+
+def similar_classes(classes: DataFrame, t: float, crowd: float = CROWD) -> DataFrame:
+    """(a, b, similarity), a < b: every pair of ``classes`` (see text_classes) with Jaccard similarity >= t; no pair is dropped."""
+    base = cut(classes.select("rep", "size", "tok", parity_sketch(F.col("tok"), 2).alias("sk")).select("rep", "size", "tok", "sk.*"))
+    sc, sets = base.sparkSession.sparkContext, base.count()
+    seen = base.select(F.explode("tok").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(SKETCH_BITS - 1)).alias("bit")).agg(F.count("*").alias("n")).toPandas()  # at most SKETCH_BITS rows
+    count = np.zeros(SKETCH_BITS, np.int64)
+    count[seen["bit"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    order = np.argsort(count, kind="stable")
+    rank = np.empty(SKETCH_BITS, np.int32)
+    rank[order] = np.arange(SKETCH_BITS, dtype=np.int32)
+    ranks, counts = sc.broadcast(rank), sc.broadcast(np.minimum(count[order], max(1, sets)).astype(np.float32))
+    keyed = base.mapInPandas(_keys(t, crowd, ranks, counts, sets), "key long, rep long, side int, size int, k0 long, k1 long")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    apart = F.bit_count(F.col("x.k0").bitwiseXOR(F.col("y.k0"))) + F.bit_count(F.col("x.k1").bitwiseXOR(F.col("y.k1")))
+    sa, sb = F.col("x.size"), F.col("y.size")
+    # one condition over both sides, so that both read the same exchange
+    sides = (F.col("x.side") * 3 + F.col("y.side") == 1) | ((F.col("x.side") * 3 + F.col("y.side") == 8) & (F.col("x.rep") < F.col("y.rep")))
+    near = (F.least(sa, sb) >= F.ceil(F.greatest(sa, sb) * t - 1e-9)) & (apart <= sa + sb - 2 * F.ceil(F.lit(t / (1 + t)) * (sa + sb) - 1e-9))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & sides & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     ta, tb = base.select(F.col("rep").alias("a"), F.col("tok").alias("ta")), base.select(F.col("rep").alias("b"), F.col("tok").alias("tb"))
-    both = candidates.join(ta, "a").join(tb, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    both = met.join(ta, "a").join(tb, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
     sim = F.col("common") / (F.size("ta") + F.size("tb") - F.col("common"))
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= t - 1e-12)
 
