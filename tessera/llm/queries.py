@@ -91,6 +91,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return left.join(right, "component").where("db_a < db_b").select("db_a", "db_b")
 
 
+def p7_components(spark: SparkSession, d: str) -> DataFrame:
+    """One row per tied database name: its component and the number of names in it."""
+    tied = cut(splits.tied_entities(_entity_rows(spark, d)))
+    size = tied.groupBy("component").agg(F.count("*").alias("names"))
+    first = tied.groupBy("component").agg(F.min("node").alias("first_name"))
+    return tied.join(size, "component").join(first, "component").select(F.col("node").alias("db_id"), "first_name", "names")
+
+
 def p7_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(_entity_rows(spark, d), table(spark, d, "split_targets")).select(F.col("id").alias("record_id"), "component", "split_name")
 
@@ -130,7 +138,7 @@ def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
     return p10_found(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).select("subject", "documents", F.round(F.col("documents") / every, 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_neighbours, p5_found, p5_report, p5_sample, p6_found, p6_counts, p7_found, p7_splits, p8_found, p8_leaks, p9_found, p9_mixture, p9_shares, p10_found, p10_subjects, p10_corpus)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_neighbours, p5_found, p5_report, p5_sample, p6_found, p6_counts, p7_found, p7_components, p7_splits, p8_found, p8_leaks, p9_found, p9_mixture, p9_shares, p10_found, p10_subjects, p10_corpus)}
 
 _STRATA = """
 with t as (select lower(trim(db_id)) a, lower(trim(difficulty)) b, sum(target_bp) bp, max(min_rows) least from sample_targets group by 1, 2),
@@ -159,4 +167,5 @@ SELECT a record_a, b record_b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHE
     "p8_found": f"WITH {_windows('d', 'documents', 'doc_id')}, {_windows('i', 'eval_items', 'item_id')} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
     "p5_found": _STRATA + "select a db_id, b difficulty from c, s where n < greatest(least, size * bp // 10000)",
     "p7_found": _TIES + "select a db_a, b db_b from r where a < b",
+    "p7_components": _TIES + "select a db_id, least(a, min(b)) first_name, count(distinct b) + (case when bool_or(a = b) then 0 else 1 end) \"names\" from r group by a",
 }
