@@ -149,6 +149,7 @@ def similar_classes(classes: DataFrame, t: float, crowd: float = CROWD) -> DataF
     rank[order] = np.arange(SKETCH_BITS, dtype=np.int32)
     ranks, counts = sc.broadcast(rank), sc.broadcast(np.minimum(count[order], max(1, sets)).astype(np.float32))
     keyed = base.mapInPandas(_keys(t, crowd, ranks, counts, sets), "key long, rep long, side int, size int, k0 long, k1 long")
+    keyed = keyed.hint("merge")  # the optimiser takes them for as few as the sets and would broadcast them
     x, y = keyed.alias("x"), keyed.alias("y")
     apart = F.bit_count(F.col("x.k0").bitwiseXOR(F.col("y.k0"))) + F.bit_count(F.col("x.k1").bitwiseXOR(F.col("y.k1")))
     sa, sb = F.col("x.size"), F.col("y.size")
