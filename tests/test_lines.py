@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from tessera.sources.lines import diagnose, parse_block, parse_lines
+from tessera.sources.lines import bisect, diagnose, parse_block, parse_lines
 
 NAMES = frozenset(["lab", "Deck"])
 GOOD = "SELECT a FROM t WHERE x = 'y'\tlab"
@@ -71,3 +71,18 @@ def test_empty_tables(spark):
     assert parse_lines(none, names).count() == 0
     one = spark.createDataFrame([(1, GOOD)], "line_id long, line_text string")
     assert parse_lines(one, names).collect()[0].reason == "invalid_value"
+
+
+def test_sound_lines_take_the_columnar_path():
+    rng, tally = random.Random(6), [0, 0]
+    lines = [rng.choice(["SELECT 'open\tlab", "SELECT 1", "DROP t\tlab"]) if rng.random() < 0.08 else rng.choice([GOOD, 'SELECT "a b" FROM `t`\tDeck', "with q as (select 'it''s') select * from q\tlab"]) for _ in range(5000)]
+    parse_block(pa.array(range(5000)), pa.array(lines), NAMES, pa.array(sorted(NAMES)), tally)
+    assert tally[0] == sum(diagnose(t, NAMES)[0] is None for t in lines) and sum(tally) == 5000
+
+
+def test_bisection():
+    rng = random.Random(7)
+    for n in (0, 1, 2, 100):
+        marks = [rng.random() < 0.9 for _ in range(n)]
+        runs, bad = bisect(pa.array(marks, pa.bool_()))
+        assert sorted([i for lo, hi in runs for i in range(lo, hi)] + bad) == list(range(n)) and bad == [i for i in range(n) if not marks[i]]
