@@ -128,16 +128,13 @@ def variant_groups(rows: DataFrame) -> DataFrame:
 def variant_copies(rows: DataFrame) -> DataFrame:
     """(keep_id, copy_id): every row that is a copy, with the smallest id of its group.
 
-    Membership travels as SHA-256 digests of the full texts.  The digest table of the survivors is written once and read
-    by both the grouping and the join, so no text is shuffled or canonicalised twice.  Spellings join their group and rows
-    join their spelling by shuffle; a hot group is split by adaptive skew joins, as neither join feeds an ordered operator.
+    Groups are formed on the whole canonical text.  The table of the survivors, with their canonical text, is written once;
+    partial aggregation precedes the only shuffle of canonical texts.  After that SHA-256 digests lead spellings to their
+    group and rows to their spelling, both by shuffle; a hot group is split by adaptive skew joins, as neither join feeds an
+    ordered operator.
     """
-    canon = cut(
-        survivors(rows)
-        .withColumn("canonical", canonical_udf("sql"))
-        .select(digest(F.col("db"), F.col("sql")).alias("raw"), digest(F.col("db"), F.col("canonical")).alias("canon"), "n", "first_id")
-    )
-    groups = canon.groupBy("canon").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("copies")).where("copies > 1").drop("copies")
-    spelling = canon.join(groups, "canon").select("raw", "keep_id")
+    canon = cut(survivors(rows).withColumn("canonical", canonical_udf("sql")).select(digest(F.col("db"), F.col("sql")).alias("raw"), "db", "canonical", "n", "first_id"))
+    groups = canon.groupBy("db", "canonical").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("copies")).where("copies > 1")
+    spelling = canon.select("raw", digest(F.col("db"), F.col("canonical")).alias("canon")).join(groups.select(digest(F.col("db"), F.col("canonical")).alias("canon"), "keep_id"), "canon").select("raw", "keep_id")
     members = rows.select("id", digest(F.col("db"), F.col("sql")).alias("raw"))
     return members.join(spelling, "raw").where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
