@@ -37,9 +37,9 @@ CHUNK = 200_000  # words expanded at once
 
 
 def words(*cols: Column) -> Column:
-    """Distinct words, sorted: lower-cased runs of letters and digits over the columns joined by a space; null is empty."""
+    """Distinct words: lower-cased runs of letters and digits over the columns joined by a space; null is empty."""
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cols])
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def _xor_where(tokens: Column, keep, value) -> Column:
@@ -56,10 +56,18 @@ def parity_sketch(tokens: Column, lanes: int = 4) -> Column:
     return F.struct(*[_lane(tokens, lanes, i).alias(f"s{i}") for i in range(lanes)])
 
 
+def token_sets(rows: DataFrame) -> DataFrame:
+    """(id, tok) of the rows (id, words) that have words: their hashes, sorted, so that equal sets are equal arrays."""
+    return rows.where(F.size("words") > 0).select("id", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("tok"))
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("tok").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "tok", F.size("tok").alias("size"))
+
+
 def text_classes(rows: DataFrame) -> DataFrame:
     """(rep, copies, tok, size) per distinct word set; ``rows`` has id and words.  Rows without any word take no part."""
-    sets = rows.where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    return sets.select("rep", "copies", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("tok"), F.size("words").alias("size"))
+    return _classes(token_sets(rows))
 
 
 def band_edges(most: int, t: float) -> np.ndarray:
@@ -170,12 +178,12 @@ def near_pairs(rows: DataFrame, t: float, expand: int = 64) -> DataFrame:
     group of copies the smallest id stands for all in links to other sets.  Within a group of copies each row is paired
     with the smallest id, and with every other row if the group has at most ``expand``; so every row stays linked.
     """
-    members = rows.where(F.size("words") > 0)
-    classes = cut(text_classes(rows))
+    sets = cut(token_sets(rows))
+    classes = cut(_classes(sets))
     links = cut(similar_classes(classes, t))
-    key = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
-    reps = classes.where("copies > 1").select(F.sha2(F.to_json("tok"), 256).alias("k"), "rep", "copies")
-    dup = cut(members.select("id", F.sha2(F.to_json(key), 256).alias("k")).join(reps, "k").select("rep", "id", "copies"))
+    key = F.xxhash64("tok").alias("k")
+    reps = classes.where("copies > 1").select(key, "tok", "rep", "copies")
+    dup = cut(sets.select("id", key, "tok").join(reps, ["k", "tok"]).select("rep", "id", "copies"))
     star = dup.where("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
     small = dup.where(F.col("copies") <= expand)
     inner = small.select("rep", F.col("id").alias("x")).join(small.select("rep", F.col("id").alias("y")), "rep").where("x < y and x <> rep").select("x", "y")
@@ -189,14 +197,14 @@ def near_groups(rows: DataFrame, t: float) -> DataFrame:
     """One row per record: id, the group it belongs to (smallest class of its component) and the number of linked texts."""
     from tessera.llm.components import components
 
-    classes = cut(text_classes(rows))
+    sets = cut(token_sets(rows))
+    classes = cut(_classes(sets))
     links = cut(similar_classes(classes, t).select("a", "b"))
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
-    key = F.sha2(F.to_json(F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))), 256)
-    label = classes.select("rep", "copies", F.sha2(F.to_json("tok"), 256).alias("k")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    label = label.select("k", "rep", "copies", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return (
-        rows.select("id", key.alias("k")).join(label, "k", "left")
-        .select(F.col("id").alias("record_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    key = F.xxhash64("tok").alias("k")
+    label = classes.select("rep", "copies", "tok").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    label = label.select(key, "tok", "copies", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    placed = sets.select("id", key, "tok").join(label, ["k", "tok"]).select("id", "group_id", "copies", "links")
+    bare = rows.where("size(coalesce(words, array())) = 0").select("id", F.col("id").alias("group_id"), F.lit(1).alias("copies"), F.lit(0).alias("links"))
+    return placed.union(bare).withColumnRenamed("id", "record_id")
