@@ -113,11 +113,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.budget(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).where("short").select("source")
+    return mixing.unmet(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).select("slot", "source", "repeat", "block", F.col("id").alias("doc_id"), "tokens")
+    return mixing.mixture(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).select("slot", "source", "repeat", "block", F.col("id").alias("doc_id"), "piece", "tokens")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
