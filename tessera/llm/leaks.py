@@ -2,11 +2,12 @@
 
 Texts are compared word by word.  Seeds of ``SEED_WORDS`` shared words between a document and an item are found with
 Karp-Rabin hashes; a pair is worth tiling only if its seeds, laid over the item, could hold a run of ``RUN_WORDS`` words or
-cover ``COVERAGE`` of the item.  Tiling then marks the longest non-overlapping matches again and again (the first one is the
-longest common run, the sum of all catches passages whose parts were reordered).
+cover ``COVERAGE`` of the item.  Tiling (``tiling.py``) then marks the longest non-overlapping matches again and again (the
+first one is the longest common run, the sum of all catches passages whose parts were reordered).
 
-The items are a held-out test set of bounded size: up to ``BROADCAST_WORDS`` words they are broadcast; a larger set is
-joined with the documents' seed hashes by shuffle, and only documents that share a seed are tiled.
+The items are a held-out test set of bounded size: up to ``BROADCAST_WORDS`` words they are broadcast.  A larger set meets
+the documents' seeds in a shuffle, in which phrases that very many texts hold are dealt to several tasks; the same test on
+the seeds of a pair decides which items are sent to a document, in rows of at most ``ITEMS_A_ROW`` items.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tiling import tiles
 from tessera.plans.cluster import cut
 
 WORD = re.compile(r"[^\W_]+")
 SEED_WORDS, RUN_WORDS, COVERAGE, BROADCAST_WORDS = 5, 12, 0.8, 2_000_000
+HOT_SEEDS, PARTS, ITEMS_A_ROW = 10_000, 32, 64
 BASE = np.uint64(1099511628211)
 
 
@@ -42,39 +45,6 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (doc start, item start, length) of the longest unmarked matches, longest first."""
-    used_d, used_i, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    at: dict[int, list[int]] = {}
-    for p, h in enumerate(rolling(doc, least).tolist()):
-        at.setdefault(h, []).append(p)
-    seeds = [(p, q) for q, h in enumerate(rolling(item, least).tolist()) for p in at.get(h, ())]
-    d, t = doc.tolist(), item.tolist()
-    while seeds:
-        best, found = least - 1, []
-        for p, q in seeds:
-            if used_d[p] or used_i[q]:
-                continue
-            if p and q and d[p - 1] == t[q - 1] and not (used_d[p - 1] or used_i[q - 1]):
-                continue  # a seed further left starts the same match
-            k = 0
-            while p + k < len(d) and q + k < len(t) and d[p + k] == t[q + k] and not used_d[p + k] and not used_i[q + k]:
-                k += 1
-            if k > best:
-                best, found = k, [(p, q, k)]
-            elif k == best and k >= least:
-                found.append((p, q, k))
-        if not found:
-            return out
-        for p, q, k in found:
-            if not used_d[p : p + k].any() and not used_i[q : q + k].any():
-                used_d[p : p + k] = True
-                used_i[q : q + k] = True
-                out.append((p, q, k))
-        seeds = [(p, q) for p, q in seeds if not (used_d[p] or used_i[q])]
-    return out
-
-
 class Items:
     """The test items as word numbers, with the sorted hashes of their seeds and where these lie."""
 
@@ -130,21 +100,50 @@ class Items:
         return out
 
 
-def _documents_with_seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, text, near): documents that share a seed with an item, and these items; seeds meet by hash in a shuffle."""
+_built: list[tuple[object, Items]] = []
+
+
+def _held(shared) -> Items:
+    """The items of a broadcast, built once in a worker process."""
+    rows = shared.value  # the same list as long as the broadcast lives in this process
+    if not _built or _built[0][0] is not rows:
+        _built[:] = [(rows, Items(rows))]
+    return _built[0][1]
+
 
-    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def seeds(df: DataFrame) -> DataFrame:
+    """(id, place, h): every seed of the texts (id, text) and where it begins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for pdf in batches:
             for i, t in zip(pdf["id"], pdf["text"]):
                 w = words(t)
-                grams = {xxhash.xxh64_intdigest(" ".join(w[j : j + SEED_WORDS])) - (1 << 63) for j in range(len(w) - SEED_WORDS + 1)}
-                yield pd.DataFrame({"id": i, "h": np.array(sorted(grams), np.int64)})
+                h = np.array([xxhash.xxh64_intdigest(" ".join(w[j : j + SEED_WORDS])) - (1 << 63) for j in range(len(w) - SEED_WORDS + 1)], np.int64)
+                yield pd.DataFrame({"id": i, "place": np.arange(len(h)), "h": h})
+
+    return df.mapInPandas(run, "id long, place long, h long")
+
 
-    of_item = items.mapInPandas(seeds, "id long, h long").select(F.col("id").alias("item"), "h")
-    hit = docs.mapInPandas(seeds, "id long, h long").join(of_item, "h").select("id", "item").distinct()
-    return hit
+def seeded_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, item): documents and items whose shared seeds could hold a run of ``RUN_WORDS`` words or cover ``COVERAGE`` of the item.
+
+    A run of n words has n - 4 seeds; tiles of five words at least cover as much as five times their seeds.  So an item of
+    which fewer places are met than either needs is left out; that loses no leak.  A phrase of more than ``HOT_SEEDS``
+    documents is dealt to ``PARTS`` tasks by the document, and its places in the items are repeated for each of them.
+    """
+    of_item = cut(seeds(items).select(F.col("id").alias("item"), "place", "h"))
+    known = of_item.select("h").distinct()
+    of_doc = cut(seeds(docs).select("id", "h").distinct().join(known, "h", "left_semi"))
+    hot = of_doc.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEEDS).select("h", F.lit(PARTS).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = of_doc.join(hot, "h", "left").select("id", "h", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    right = of_item.join(hot, "h", "left").select("item", "place", "h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    met = left.join(right, ["h", "part"]).groupBy("id", "item").agg(F.count_distinct("place").alias("met"))
+    length = of_item.groupBy("item").agg((F.max("place") + SEED_WORDS).alias("length"))
+    least = F.least(F.lit(RUN_WORDS - SEED_WORDS + 1), F.ceil(F.col("length") * COVERAGE / SEED_WORDS - 1e-9))
+    return met.join(length, "item").where(F.col("met") >= least).select("id", "item")
 
 
 def leaked(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -161,17 +160,20 @@ def leaked(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_W
         held = docs.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in items.orderBy("id").collect()])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = Items(held.value)
+            known = _held(held)
             for pdf in batches:
                 yield pd.DataFrame([(i, *x) for i, t in zip(pdf["id"], pdf["text"]) for x in known.leaks(t)], columns=names)
 
         return docs.select("id", "text").mapInPandas(run, schema)
 
-    pairs = cut(_documents_with_seeds(docs.select("id", "text"), items.select("id", "text")))
-    both = pairs.join(docs.select("id", "text"), "id").join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item")
+    pairs = cut(seeded_pairs(docs.select("id", "text"), items.select("id", "text")))
+    sent = pairs.join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item")
+    share = F.ceil(F.col("n") / ITEMS_A_ROW)
+    count = pairs.groupBy("id").agg(F.count("*").alias("n"))
+    packed = sent.join(count, "id").groupBy("id", F.pmod(F.xxhash64("item"), share).alias("row")).agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
 
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(i, *x) for i, t, k, s in zip(pdf["id"], pdf["text"], pdf["item"], pdf["item_text"]) for x in Items([(k, s)]).leaks(t)], columns=names)
+            yield pd.DataFrame([(i, *x) for i, t, ks in zip(pdf["id"], pdf["text"], pdf["items"]) for x in Items([(k["item"], k["item_text"]) for k in ks]).leaks(t)], columns=names)
 
-    return both.select("id", "text", "item", "item_text").mapInPandas(one, schema)
+    return packed.join(docs.select("id", "text"), "id").select("id", "text", "items").mapInPandas(some, schema)
