@@ -74,7 +74,7 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return answers.defective(table(spark, d, "eval_results"), "result_id", "question", "predicted_sql")
+    return answers.defective(table(spark, d, "eval_results"), "result_id", "question", "predicted_sql", "error_msg")
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
