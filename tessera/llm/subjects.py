@@ -30,6 +30,8 @@ BUCKETS, WIDTH, SEED = 1 << 15, 16, 7
 ROUNDS, RATE, PARTS = 22, 0.25, 6
 HELD_OUT = 5  # every fifth labelled document chooses the threshold
 MIN_SENTENCES = 4
+KEPT_WORDS = 200_000  # of a cache
+MOST_SUBJECTS = 1000  # of the stated list
 SENTENCE_WORDS = 400  # a longer run without an end mark is cut into sentences of this many words
 
 END = re.compile(r"(?<=[.!?])[\"'*_)\]]*\s+(?!\d)|(?<=[。！？])|\n\s*\n|\r\n\s*\r\n")
@@ -60,6 +62,19 @@ def pieces(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
+_pieces: dict[str, list[int]] = {}
+
+
+def known_pieces(word: str) -> list[int]:
+    """``pieces``, kept for the ``KEPT_WORDS`` words that a worker process met last, since words recur from batch to batch."""
+    got = _pieces.get(word)
+    if got is None:
+        if len(_pieces) >= KEPT_WORDS:
+            _pieces.clear()
+        got = _pieces[word] = pieces(word)
+    return got
+
+
 class Bag:
     """Sentences as index arrays: words of each sentence, pieces of each distinct word."""
 
@@ -73,7 +88,7 @@ class Bag:
                     length.append(len(s))
                     owner.append(d)
         self.word, self.length, self.owner = np.array(word, np.int64), np.array(length, np.int64), np.array(owner, np.int64)
-        rows = [pieces(w) for w in vocab]
+        rows = [known_pieces(w) for w in vocab]
         self.piece = np.array([p for r in rows for p in r], np.int64)
         self.pieces = np.array([len(r) for r in rows], np.int64)
 
@@ -140,36 +155,6 @@ def counts_at(p: np.ndarray, owner: np.ndarray, docs: int, cut_at: float) -> np.
     return np.stack([np.bincount(owner, p[:, s] >= cut_at, docs) for s in range(p.shape[1])], axis=1)
 
 
-class Adam:
-    def __init__(self, model: dict[str, np.ndarray], rate: float):
-        self.model, self.rate, self.t = model, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.items()} for _ in range(2))
-
-    def step(self, grads: dict[str, np.ndarray], n: int) -> None:
-        self.t += 1
-        rate = self.rate * max(0.1, 1 - max(0, self.t - ROUNDS // 2) / (ROUNDS // 2))
-        for k, x in self.model.items():
-            g = grads[k] / max(n, 1) * 100
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.98 * self.v[k] + 0.02 * g * g
-            x -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.98**self.t)) + 1e-6)
-
-
-def counts_at(p: np.ndarray, owner: np.ndarray, docs: int, cut_at: float) -> np.ndarray:
-    return np.stack([np.bincount(owner, p[:, s] >= cut_at, docs) for s in range(p.shape[1])], axis=1)
-
-
-def best_cut(p: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> float:
-    """The sentence threshold with the best F1 over held-out documents; the middle one of equals."""
-    found = []
-    for c in np.arange(0.2, 0.85, 0.05):
-        said = counts_at(p, owner, len(labels), c) >= MIN_SENTENCES
-        hit = float((said & (labels > 0)).sum())
-        found.append((round(2 * hit / max(1.0, said.sum() + labels.sum()), 6), round(float(c), 2)))
-    top = [c for f, c in found if f == max(f for f, _ in found)]
-    return top[len(top) // 2]
-
-
 def _pack(subjects: list[str]):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = np.array([[s in set(have) for s in subjects] for have in pdf["subjects"]], np.float32).reshape(len(pdf), len(subjects))
@@ -257,6 +242,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], subjects: list[str], th
 
 def subjects_of(docs: DataFrame, labels: DataFrame, subject_list: DataFrame) -> DataFrame:
     """(doc_id, subject, sentences, strength): the subjects to which a document gives at least ``MIN_SENTENCES`` sentences."""
-    names = sorted(r[0] for r in subject_list.select("subject").where("subject is not null").distinct().limit(1000).collect())  # a short fixed list
+    names = sorted(r[0] for r in subject_list.select("subject").where("subject is not null").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     model, threshold = train(docs, labels, names)
     return score(docs, model, names, threshold).where(F.col("sentences") >= MIN_SENTENCES)
