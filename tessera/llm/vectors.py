@@ -4,10 +4,15 @@ Unit vectors are turned by fast Hadamard pseudo-rotations (sign flips and a Wals
 assigned to the nearest signed axis.  In each of ``tables`` independent tables a vector is stored under its nearest axis
 and looks up its ``probes`` nearest; candidates of a bucket are reranked by exact cosine.
 
+The number of concatenated rotations follows from the number of vectors alone (``depths``): further rotations, the last one
+with as many axes as keep about ``CELL_ROWS`` stored vectors in a cell, part the buckets into cells, and a vector meets the
+cells of its nearest axes at every level.  So it is compared with about as many others however many there are, where the
+first rotation alone would compare it with a fixed part of all.
+
 A bucket with more than ``bucket_rows`` rows is cut into blocks of asking and of stored rows, and all of them meet each
-other exactly.  So the candidates, and with them the recall, are the same whatever the size of the buckets, and no task
-holds more than two blocks; the price is that comparisons grow with the square of a bucket.  Equal vectors collapse to
-one class first.  Vectors travel as float32; cosines are taken in float64 of these values.
+other.  So the candidates, and with them the recall, are the same whatever the size of the buckets, and no task holds more
+than two blocks.  Equal vectors collapse to one class first.  Vectors travel as float32; candidates are sifted in float32
+and their cosines taken in float64 of these values.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.plans.cluster import cut
 
 TABLES, PROBES, BUCKET_ROWS, SEED = 10, 3, 4096, 20240229
+CELL_ROWS = 32  # stored vectors that a cell is meant to hold
+SIFT = 1e-5  # more than float32 can err in a cosine
 
 
 def sound(rows: DataFrame, dim: int) -> DataFrame:
@@ -52,10 +59,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.float32(d))
 
 
-def nearest_axes(x: np.ndarray, signs: np.ndarray, m: int) -> np.ndarray:
-    """The m nearest signed axes of each rotated row, the nearest first: axis j as j, its negative as j + dim."""
+def nearest_axes(x: np.ndarray, signs: np.ndarray, m: int, pairs: int | None = None) -> np.ndarray:
+    """The m nearest signed axes of each rotated row, the nearest first: axis j as j, its negative as j + dim.
+
+    With ``pairs`` only the first so many axes count, and dim is that number.
+    """
     for s in signs:
         x = hadamard(x * s)
+    x = x[:, :pairs]
     both = np.concatenate([x, -x], axis=1)
     return np.argsort(-both, axis=1, kind="stable")[:, :m] if m > 1 else both.argmax(axis=1)[:, None]
 
@@ -84,37 +95,88 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"rep": pdf["rep"], "vec": [np.asarray(v, np.float32).tobytes() for v in pdf["v"]]})
 
 
-def _rerank(dim: int, k: int):
+def depths(rows: int, dim: int, cell_rows: int = CELL_ROWS) -> list[tuple[int, int]]:
+    """(axes, probes) of the rotations after the first: whole ones while buckets are large, a part of one for the rest.
+
+    With d pairs of axes a vector probes about 2 d^0.43 of the 2 d cells, which keeps the recall of a level near 0.98.
+    """
+    full = 1 << (dim - 1).bit_length()
+    out, bucket = [], rows / (2 * full)
+    while bucket >= 4 * cell_rows and len(out) < 8:
+        pairs = min(full, 1 << max(0, int(bucket / (2 * cell_rows)).bit_length() - 1))
+        out.append((pairs, min(2 * pairs, int(np.ceil(2 * pairs**0.43)))))
+        bucket /= 2 * pairs
+    return out
+
+
+def _cells(x: np.ndarray, ask: np.ndarray, deeper: list[tuple[int, int]], signs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(stored rows, asking rows) of every cell that both reach, level by level."""
+    todo = [(np.arange(len(x)), np.arange(len(ask)), 0)]
+    while todo:
+        held, asking, level = todo.pop()
+        if level == len(deeper):
+            yield held, asking
+            continue
+        pairs, probes = deeper[level]
+        own, near = nearest_axes(x[held], signs[level], 1, pairs)[:, 0], nearest_axes(ask[asking], signs[level], probes, pairs)
+        order = np.argsort(own, kind="stable")
+        first = np.searchsorted(own[order], np.arange(2 * pairs + 1))
+        row, col = np.repeat(asking, near.shape[1]), near.ravel()
+        by = np.argsort(col, kind="stable")
+        start = np.searchsorted(col[by], np.arange(2 * pairs + 1))
+        for c in range(2 * pairs):
+            if first[c] < first[c + 1] and start[c] < start[c + 1]:
+                todo.append((held[order[first[c] : first[c + 1]]], row[by[start[c] : start[c + 1]]], level + 1))
+
+
+def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of every asking row; ties go to the smaller id."""
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[keep], c[keep], s[keep]
+
+
+def _rerank(dim: int, k: int, deeper: list[tuple[int, int]], tables: int, seed: int):
+    full = 1 << (dim - 1).bit_length()
+
+    def unit(vecs: pd.Series) -> np.ndarray:
+        x = np.zeros((len(vecs), full), np.float64)
+        x[:, :dim] = np.frombuffer(b"".join(vecs), np.float32).reshape(-1, dim)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf[pdf["store"]]
-        ask = pdf[pdf["ask"]]
-        if not len(held) or not len(ask):
-            return pd.DataFrame({"q": [], "c": [], "cos": []}).astype({"q": "int64", "c": "int64", "cos": "float64"})
-        x = np.frombuffer(b"".join(held["vec"]), np.float32).reshape(-1, dim).astype(np.float64)
-        hx, hid = x / np.linalg.norm(x, axis=1, keepdims=True), held["rep"].to_numpy()
-        y = np.frombuffer(b"".join(ask["vec"]), np.float32).reshape(-1, dim).astype(np.float64)
-        qy, qid = y / np.linalg.norm(y, axis=1, keepdims=True), ask["rep"].to_numpy()
-        out = []
-        for lo in range(0, len(qid), 512):
-            s = np.round(qy[lo : lo + 512] @ hx.T, 12)
-            own = qid[lo : lo + 512, None] == hid[None, :]
-            s[own] = -2.0
-            take = min(k, s.shape[1])
-            # ties at the k-th place go to smaller ids: keep all that reach the k-th value, then rank
-            kth = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take][:, None]
-            r, c = np.nonzero((s >= kth) & (s > -2.0))
-            order = np.lexsort((hid[c], -s[r, c], r))
-            r, c = r[order], c[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-            r, c = r[rank < k], c[rank < k]
-            out.append(pd.DataFrame({"q": qid[lo + r], "c": hid[c], "cos": s[r, c]}))
-        return pd.concat(out, ignore_index=True)
+        held, ask = pdf[pdf["store"]], pdf[pdf["ask"]]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(held) and len(ask):
+            hx, hid, qy, qid = unit(held["vec"]), held["rep"].to_numpy(np.int64), unit(ask["vec"]), ask["rep"].to_numpy(np.int64)
+            hf, qf = hx.astype(np.float32), qy.astype(np.float32)
+            signs = [rotations(full, tables, seed + 1 + level)[key[0]] for level in range(len(deeper))]
+            for h, a in _cells(hf, qf, deeper, signs):
+                stored = np.ascontiguousarray(hf[h].T)
+                for lo in range(0, len(a), 512):
+                    part = a[lo : lo + 512]
+                    s = qf[part] @ stored
+                    s[qid[part][:, None] == hid[h][None, :]] = -2.0
+                    take = min(k, s.shape[1])
+                    # ties at the k-th place go to smaller ids: keep all that may reach the k-th value
+                    kth = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take][:, None]
+                    r, c = np.nonzero((s >= kth - SIFT) & (s > -1.5))
+                    r, c = part[r], h[c]
+                    out.append(_best(r, hid[c], np.round(np.einsum("ij,ij->i", qy[r], hx[c]), 12), k))
+            q, c, s = _best(*(np.concatenate(x) for x in zip(*out)), k)
+            return pd.DataFrame({"q": qid[q], "c": c, "cos": s})
+        return pd.DataFrame({"q": out[0][0], "c": out[0][1], "cos": out[0][2]})
 
     return run
 
 
-def nearest_classes(classes: DataFrame, dim: int, k: int, tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
-    """(q, near): for each class its candidates, best first, at most k structs (cos, c); ties go to the smaller id."""
+def nearest_classes(classes: DataFrame, dim: int, k: int, tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(q, near): for each class its candidates, best first, at most k structs (cos, c); ties go to the smaller id.
+
+    ``classes`` is written, see ``vector_classes``.
+    """
+    deeper = depths(classes.count(), dim, cell_rows)
     hashed = classes.select("rep", "v").mapInPandas(_hash(dim, tables, probes, seed), "rep long, t int, a int, store boolean")
     hashed = cut(hashed)  # keys only; vectors are joined once their place is known
     # which buckets hold too many rows: counts only, no vectors; at most rows * tables * probes / bucket_rows buckets are hot
@@ -127,7 +189,7 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, tables: int = TABLES,
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = placed.select("rep", "vec", "t", "a", part("ni").alias("i"), each("nj").alias("j"), (F.col("store") & (F.col("ni") == 1)).alias("store"), F.lit(True).alias("ask"))
     held = placed.where("store and ni > 1").select("rep", "vec", "t", "a", each("ni").alias("i"), part("nj").alias("j"), F.lit(True).alias("store"), F.lit(False).alias("ask"))
-    scored = asks.unionByName(held).groupBy("t", "a", "i", "j").applyInPandas(_rerank(dim, k), "q long, c long, cos double")
+    scored = asks.unionByName(held).groupBy("t", "a", "i", "j").applyInPandas(_rerank(dim, k, deeper, tables, seed), "q long, c long, cos double")
     best = scored.repartition("q").groupBy("q", "c").agg(F.max("cos").alias("cos"))
     return best.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("far"), "c"))), 1, k).alias("near"))
 
