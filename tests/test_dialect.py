@@ -119,6 +119,20 @@ CASES = [
     "SELECT k FROM t GROUP BY 1 HAVING COUNT(*) = 1 ORDER BY COUNT(*), 1",
     "SELECT UPPER(k) AS u, LOWER(k) AS l, TRIM(s) AS t, REPLACE(s, 'a', 'z') AS r FROM t WHERE k <> 'é'",
     "SELECT TYPEOF(i) AS a, TYPEOF(f) AS b, TYPEOF(s) AS c FROM t",
+    "SELECT DATE('2020-01-31', '+1 month') AS a, DATE('2020-02-29', '+1 year') AS b, DATETIME('2021-12-31 10:11:12', '-1 month', '+2 years') AS c, DATE('2020-03-31', '-1 month') AS e FROM t",
+    "SELECT i AS x FROM t UNION SELECT f FROM t",
+    "SELECT i > 3 AS x FROM t UNION SELECT i FROM t",
+    "SELECT k, 1 AS one FROM t EXCEPT SELECT s, 1 FROM t",
+    "SELECT k FROM t WHERE (i, f) = (3, 2.5)",
+    "SELECT k FROM t WHERE (i, k) < (7, 'c') AND (i, k) >= (0, 'a')",
+    "SELECT k FROM t WHERE (i, k) IN (SELECT i, k FROM t WHERE i > 2)",
+    "SELECT k FROM t WHERE (i, k) NOT IN (SELECT i, k FROM t WHERE i > 2)",
+    "SELECT k FROM t WHERE (k, i) BETWEEN ('a', 3) AND ('c', 1)",
+    "SELECT HEX(k) AS h, HEX(s) AS g, HEX(i) AS n, UNICODE(k) AS u FROM t WHERE i IS NOT NULL",
+    "SELECT UNICODE('') AS u, UNICODE('\u00e9t') AS v FROM t",
+    "SELECT JSON_EXTRACT('{\"a\": {\"b\": \"x\"}, \"c\": [1, 2]}', '$.a.b') AS x, JSON_EXTRACT('{\"a\": 1}', '$.z') AS y FROM t",
+    "SELECT k FROM t WHERE JSON_EXTRACT('{\"n\": ' || i || '}', '$.n') > 2",
+    "SELECT k FROM t WHERE k LIKE '\u00c9'",
 ]
 
 
@@ -167,6 +181,15 @@ def test_mixed_kinds_become_text(small):
     assert {r.w for r in rows} == {"low", "10"}  # a column has one type here, where SQLite types each value
 
 
+def test_sides_of_a_set_operation_get_one_kind(spark, small):
+    rows = small[1].sql("SELECT i FROM t UNION SELECT s FROM t").collect()
+    assert {r.i for r in rows} == {"3", "-7", "0", "10", "7", None, "2", "12abc", "abc", " 5 ", "-1e2x", ""}
+    with pytest.raises(SqlError):
+        small[1].translate("SELECT i, k FROM t UNION SELECT s FROM t")
+    with pytest.raises(SqlError):
+        small[1].translate("SELECT k FROM t WHERE (i, k) = (1, 2, 3)")
+
+
 def test_ansi_mode_does_not_matter(spark, small):
     before = spark.conf.get("spark.sql.ansi.enabled")
     try:
