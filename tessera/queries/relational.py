@@ -118,6 +118,26 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "min_max_scalar": ("SELECT p_partkey, MAX(p_size, 20) AS hi, MIN(p_size, 20) AS lo FROM part", "SELECT p_partkey, greatest(p_size, 20) AS hi, least(p_size, 20) AS lo FROM part"),
     "bool_arithmetic": ("SELECT p_partkey, 2 * (p_size = 10) AS b FROM part", "SELECT p_partkey, 2 * CAST(p_size = 10 AS INT) AS b FROM part"),
     "glob": ("SELECT n_nationkey FROM nation WHERE n_name GLOB 'I*'", "SELECT n_nationkey FROM nation WHERE n_name LIKE 'I%'"),
+    # forms that the queries above meet with constants or without rows
+    "not_in_some": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", None),
+    "not_exists_some": ("SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", None),
+    "like_folds_case": ("SELECT n_nationkey FROM nation WHERE n_name LIKE '%tion_1%'", "SELECT n_nationkey FROM nation WHERE n_name ILIKE '%tion_1%'"),
+    "glob_class": ("SELECT p_partkey FROM part WHERE p_type GLOB '[A-M]*' AND p_name GLOB '*red?*'", None),
+    "union_mixed": ("SELECT n_nationkey AS k FROM nation UNION SELECT r_name FROM region", "SELECT CAST(n_nationkey AS VARCHAR) AS k FROM nation UNION SELECT r_name FROM region"),
+    "month_overflow": (
+        "SELECT o_orderkey, DATE(o_orderdate, '+1 month') AS d FROM orders",
+        "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + to_days(CAST(day(o_orderdate) - 1 AS INT)), '%Y-%m-%d') AS d FROM orders",
+    ),
+    "row_values": ("SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderstatus) IN (SELECT c_custkey, 'F' FROM customer WHERE c_nationkey = 3)", None),
+    "row_compare": ("SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderkey) > (700, 5000)", None),
+    "json_member": (
+        "SELECT event_id, JSON_EXTRACT(props, '$.k') AS k FROM events WHERE JSON_EXTRACT(props, '$.k') > 50",
+        "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50",
+    ),
+    "hex_unicode": ("SELECT n_nationkey, HEX(n_name) AS h, UNICODE(n_name) AS u FROM nation", None),
+    "order_by_agg_ungrouped": ("SELECT COUNT(*) AS n, MIN(o_orderkey) AS k FROM orders ORDER BY MAX(o_totalprice)", None),
+    "limit_unordered": ("SELECT COUNT(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 7)", None),
+    "recursive_cte": ("WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 10) SELECT n FROM c", None),
 }
 
 
