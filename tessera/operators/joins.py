@@ -32,9 +32,11 @@ def eligible(count: DataFrame, token: DataFrame) -> DataFrame:
 
 def minhash(values: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """(tbl, col, signature): per seed the least of the first 16 hex digits of SHA-1 of "seed::value", which order as unsigned numbers."""
-    raw = values.where("v is not null and trim(v) <> ''").select(*KEYS, "v")
-    least = [F.min(F.substring(F.sha1(F.concat(F.lit(f"{i}::"), "v")), 1, 16)) for i in range(seeds)]
-    return raw.groupBy(*KEYS).agg(F.array(*least).alias("signature"))
+    raw = values.where("v is not null and trim(v) <> ''").groupBy("v").agg(F.collect_set(F.struct(*KEYS)).alias("at"))  # bounded by the schema
+    # every distinct value is hashed once, whatever the number of columns that hold it
+    hashed = raw.select("at", *[F.substring(F.sha1(F.concat(F.lit(f"{i}::"), "v")), 1, 16).alias(f"h{i}") for i in range(seeds)])
+    least = [F.min(f"h{i}") for i in range(seeds)]
+    return hashed.select(F.explode("at").alias("k"), *hashed.columns[1:]).groupBy("k.tbl", "k.col").agg(F.array(*least).alias("signature"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -78,11 +80,11 @@ def join_candidates(values: DataFrame, count: DataFrame, semantic: DataFrame, ke
     named = able.select(*KEYS, F.lower("col").alias("name"))
     other = named.select(F.col("tbl").alias("tbl2"), F.col("col").alias("col2"), "name")
     same = named.join(other, "name").where("tbl <> tbl2").drop("name")
-    ids, ids2 = (x.where(F.col("name").endswith("id")).withColumn("k", F.lit(1)).drop("name") for x in (named, other))
-    pairs = cut(shared.select("tbl", "col", "tbl2", "col2").union(same).union(ids.join(ids2, "k").where("tbl <> tbl2").drop("k")).distinct())
+    # two identifiers of other names that share no value reach 0.12 + 0.21 at most, below MIN_SCORE: they need not meet
+    pairs = cut(shared.select("tbl", "col", "tbl2", "col2").union(same).distinct())
     # only columns that stand in a pair need a signature
     info = (
-        able.join(minhash(values.join(pairs.select(*KEYS).distinct(), list(KEYS), "left_semi")), list(KEYS))
+        able.join(minhash(values.join(F.broadcast(pairs.select(*KEYS).distinct()), list(KEYS), "left_semi")), list(KEYS))  # at most one row a column
         .join(semantic.select(*KEYS, "semantic_type"), list(KEYS))
         .join(keys.select(*KEYS, "key_score", "likely_key"), list(KEYS))
         .join(count.select(*KEYS, "cardinality_class"), list(KEYS))
