@@ -7,12 +7,14 @@ import os
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.provider import Provider
 from tessera.functions.texts import json_object
 from tessera.operators.profile import KEYS, Constraints, profile
+from tessera.plans.cluster import cut
+from tessera.sources.sinks import path_exists, replace_path, write_table
 
 VERSION = "1"
 RESERVED = "__"  # names that begin so are no tables
@@ -93,33 +95,58 @@ def enrich(payloads: DataFrame, provider: Provider) -> DataFrame:
     return payloads.mapInPandas(run, "tbl string, answer string")
 
 
-def build(tables: Mapping[str, DataFrame], out_dir: str, db: str, constraints: Constraints = Constraints(), settings: Mapping[str, str] | None = None) -> dict:
-    """Profiles the tables that this version and these settings have not yet profiled, one at a time, and returns the run's meta.
+def described(profiles: DataFrame, provider: Provider | None = None) -> DataFrame:
+    """Profiles of one table with the descriptions of its columns and where these come from: rules, or a model's answer merged over them."""
+    spark, texts = profiles.sparkSession, describe(profiles)
+    if provider is None:
+        return profiles.join(texts.withColumnRenamed("format_hint", "described_format"), list(KEYS), "left").withColumn("described_by", F.lit("rules"))
+    fallback = {r["col"]: {k: r[k] or "" for k in FIELDS} for r in texts.collect()}  # a row a column
+    answers = [r["answer"] for r in enrich(payload(profiles), provider).collect()]
+    merged, by = merge_description(answers[0] if answers else None, fallback)
+    rows = [(c, *(f.get(k, "") for k in FIELDS), by if by == "model" else "rules") for c, f in merged.items()]
+    names = [k if k != "format_hint" else "described_format" for k in FIELDS]
+    return profiles.join(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in ("col", *names, "described_by"))), "col", "left")
 
-    Each table is its own Parquet folder, written last of all under its final name, so a stopped build resumes with the
-    tables that are missing.  A table that fails is reported and skipped.  The settings are part of the folder's name: a
-    limited run is never taken for a full one.  Names with the reserved prefix are skipped.
+
+def _root(out_dir: str, db: str, settings: Mapping[str, str] | None) -> str:
+    return os.path.join(out_dir, db, "-".join([VERSION, *[f"{k}={v}" for k, v in sorted((settings or {}).items())]]))
+
+
+def build(tables: Mapping[str, DataFrame], out_dir: str, db: str, constraints: Constraints = Constraints(), settings: Mapping[str, str] | None = None, provider: Provider | None = None) -> dict:
+    """Profiles and describes the tables that this version and these settings have not yet profiled, one at a time; returns the run's meta.
+
+    Each table is its own Parquet folder on any file system that Spark reads, renamed to its final name last of all, so a
+    stopped build resumes with the tables that are missing.  A table that fails is reported and skipped.  The settings are
+    part of the folder's name: a limited run is never taken for a full one.  Names with the reserved prefix are skipped.
     """
-    tag = "-".join([VERSION, *[f"{k}={v}" for k, v in sorted((settings or {}).items())]])
-    root = os.path.join(out_dir, db, tag)
+    root = _root(out_dir, db, settings)
     done, skipped, failed = [], [], {}
     for name, df in tables.items():
         if name.startswith(RESERVED) or name.startswith("sqlite_"):
             continue
         path = os.path.join(root, name)
-        if os.path.isdir(path):
+        if path_exists(df.sparkSession, path):
             skipped.append(name)
             continue
         try:
-            profile({name: df}, constraints).coalesce(1).write.mode("overwrite").parquet(f"{path}.part")
-            os.replace(f"{path}.part", path)
+            write_table(described(cut(profile({name: df}, constraints)), provider).coalesce(1), path)
             done.append(name)
         except Exception as e:  # one bad table must not end the build
             failed[name] = str(e).splitlines()[0][:300]
     meta = {"db": db, "version": VERSION, "settings": dict(settings or {}), "profiled": done, "skipped": skipped, "failed": failed, "status": "in_progress" if failed else "completed"}
-    os.makedirs(root, exist_ok=True)
-    tmp = os.path.join(root, "_meta.json.tmp")
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump(meta, f, ensure_ascii=False, indent=1)
-    os.replace(tmp, os.path.join(root, "_meta.json"))
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        made = os.path.join(root, "_meta.part")
+        spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(made)
+        replace_path(spark, made, os.path.join(root, "_meta"))
     return meta
+
+
+def read(spark: SparkSession, out_dir: str, db: str, settings: Mapping[str, str] | None = None) -> tuple[DataFrame, dict]:
+    """The catalog that ``build`` wrote, all tables as one, and the meta of its last run; what was never built is an error."""
+    root = _root(out_dir, db, settings)
+    meta = json.loads(spark.read.text(os.path.join(root, "_meta")).first()[0])
+    names = [*meta["profiled"], *meta["skipped"]]
+    if not names:
+        raise ValueError(f"no table of {db} is profiled")
+    return spark.read.parquet(*[os.path.join(root, n) for n in names]), meta

@@ -57,6 +57,24 @@ def result_key(df: DataFrame) -> str:
     return f"{r['k']}:{r['a']}:{r['b']}"
 
 
+def result_keys(df: DataFrame) -> tuple[str, str]:
+    """Two fingerprints of the multiset of rows from one execution: for votes (types tell) and for accuracy (1 and 1.0 agree).
+
+    Sums of two 64-bit hashes over the rows and their number do not depend on the order of rows and need no grouping.
+    Results without rows agree whatever their columns.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    types = ",".join(t for _, t in plain.dtypes)
+    as_json = lambda cols, head: F.concat(F.lit(f"{len(names)}|{head}"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
+    number = lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)
+    doubles = [number(F.col(c).cast("double")) if t in NUMERIC or t.startswith("decimal") or t == "boolean" else F.col(c) for c, t in plain.dtypes]
+    rows = plain.select(as_json([F.col(c).alias(f"_{i}") for i, c in enumerate(names)], types + "|").alias("s"), as_json([x.alias(f"_{i}") for i, x in enumerate(doubles)], "").alias("l"))
+    total = lambda *x: F.coalesce(F.sum(F.xxhash64(*x).cast("decimal(38,0)")), F.lit(0))
+    r = rows.agg(F.count("*").alias("k"), total("s").alias("a"), total(F.lit(1), "s").alias("b"), total("l").alias("c"), total(F.lit(1), "l").alias("d")).first()
+    return f"{r['k']}:{r['a']}:{r['b']}", f"{r['k']}:{r['c']}:{r['d']}"
+
+
 def vote(candidates: DataFrame, case: Sequence[str]) -> DataFrame:
     """The winner of each case: most valid candidates with one result; first seen wins ties; within it the shortest query.
 
@@ -105,6 +123,7 @@ class Attempt:
     error: str = ""
     frame: DataFrame | None = None
     key: str | None = None
+    rows: str | None = None  # fingerprint with numbers as doubles
 
     @property
     def valid(self) -> bool:
@@ -123,7 +142,8 @@ class Case:
 class Evaluator:
     """Runs candidate queries of a case on its database, lets them vote and compares the winner with the gold query.
 
-    Only queries run (the dialect refuses all else); ``seconds`` bounds each by cancelling its job group.
+    Every query runs once: vote and comparison rest on fingerprints of that run, so that an unordered LIMIT is scored by the
+    rows that were voted on.  Only queries run (the dialect refuses all else); ``seconds`` bounds each by cancelling its job group.
     """
 
     def __init__(self, databases: dict[str, Dialect], seconds: float | None = None):
@@ -145,7 +165,7 @@ class Evaluator:
                 timer = threading.Timer(self.seconds, lambda: sc.cancelJobsWithTag(tag))
                 timer.start()
             frame = db.sql(sql)
-            return Attempt(sql, "", frame, result_key(frame))
+            return Attempt(sql, "", frame, *result_keys(frame))
         except SqlError as e:
             return Attempt(sql, str(e))
         except Exception as e:
@@ -176,7 +196,7 @@ class Evaluator:
         if chosen.valid:
             gold = self.run(case.db_id, case.gold_sql)
             if gold.valid:
-                correct = same_multiset(gold.frame, chosen.frame)
+                correct = gold.rows == chosen.rows
             else:
                 error = gold.error
         return {"order_index": index, "question_id": case.question_id, "db_id": case.db_id, "question": case.question, "gold_sql": case.gold_sql, "predicted_sql": chosen.sql, "is_correct": correct, "error_msg": error}

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.texts import one_line
 
 
+ENTRIES = "ord long, question_id string, db_id string, question string, evidence string"
+
+
+def knowledge_entries(spark: SparkSession, raw: object) -> DataFrame:
+    """Entries of a knowledge file that was read as JSON: a list of entries, or entries or lists of entries under a key.
+
+    A key of digits is the question id of the entries below it, any other their database, where they do not say so
+    themselves.  What is no entry is left out; anything else than a list or a mapping gives no entries.
+    """
+    found: list[dict] = []
+
+    def add(value: object, key: object = None) -> None:
+        for entry in value if isinstance(value, list) else [value]:
+            if isinstance(entry, dict):
+                named = {} if key is None else {"question_id" if str(key).isdigit() else "db_id": key}
+                found.append(named | entry)
+
+    if isinstance(raw, list):
+        add(raw)
+    elif isinstance(raw, dict):
+        for key, value in raw.items():
+            add(value, key)
+    text = lambda v: None if v is None else str(v)
+    return spark.createDataFrame([(i, *(text(e.get(c)) for c in ("question_id", "db_id", "question", "evidence"))) for i, e in enumerate(found)], ENTRIES)
+
+
 def knowledge_index(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The last entry per question id, and the last per (database, question); ``entries`` has ord, question_id, db_id, question, evidence."""
     e = entries.select("ord", F.col("question_id").cast("string").alias("qid"), "db_id", one_line(F.col("question")).alias("q"), F.trim(F.coalesce("evidence", F.lit(""))).alias("evidence"))

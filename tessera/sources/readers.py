@@ -70,7 +70,8 @@ def _scan(path: str, table: str, kinds: list[tuple[str, str]], batches: Iterator
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
         for pdf in batches:
             for lo, hi in zip(pdf["lo"], pdf["hi"]):
-                rows = con.execute(f"SELECT * FROM {q} WHERE rowid BETWEEN ? AND ?", (int(lo), int(hi)))
+                # null bounds: a table without row ids, read as a whole
+                rows = con.execute(f"SELECT * FROM {q}") if pd.isna(lo) else con.execute(f"SELECT * FROM {q} WHERE rowid BETWEEN ? AND ?", (int(lo), int(hi)))
                 while part := rows.fetchmany(20_000):
                     cols = {}
                     for i, (c, k) in enumerate(kinds):
@@ -86,18 +87,24 @@ def sqlite_table(spark: SparkSession, path: str, table: str, chunk: int = 1_000_
     read as text, since its values have types of their own.  Tables without row ids are read in one range by their order.
     """
     q = '"' + table.replace('"', '""') + '"'
-    kinds = []
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-        for r in con.execute(f"PRAGMA table_info({q})").fetchall():
-            c, t = '"' + r[1].replace('"', '""') + '"', (r[2] or "").upper()
+        declared = [(r[1], (r[2] or "").upper()) for r in con.execute(f"PRAGMA table_info({q})")]
+        # one scan says which columns hold values that their declared type does not promise
+        ask = ", ".join(f"max(typeof({c}) IN ('text', 'blob')), max(typeof({c}) = 'real')" for c in ('"' + n.replace('"', '""') + '"' for n, _ in declared))
+        seen = con.execute(f"SELECT {ask} FROM {q}").fetchone()
+        kinds = []
+        for i, (name, t) in enumerate(declared):
             kind = "bigint" if "INT" in t else "double" if any(x in t for x in ("REAL", "FLOA", "DOUB", "NUM", "DEC")) else "string"
-            if kind != "string" and con.execute(f"SELECT 1 FROM {q} WHERE typeof({c}) IN ('text', 'blob') LIMIT 1").fetchone():
-                kind = "string"
-            if kind == "bigint" and con.execute(f"SELECT 1 FROM {q} WHERE typeof({c}) = 'real' LIMIT 1").fetchone():
-                kind = "double"
-            kinds.append((r[1], kind))
-        top = con.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {q}").fetchone()
-    ranges = [(lo, min(lo + chunk - 1, top[1])) for lo in range(top[0], top[1] + 1, chunk)]
+            texts, reals = seen[2 * i : 2 * i + 2]
+            kinds.append((name, "string" if texts else "double" if kind == "bigint" and reals else kind))
+        try:
+            top = con.execute(f"SELECT min(rowid), max(rowid) FROM {q}").fetchone()
+        except sqlite3.OperationalError:  # a table without row ids
+            top = (None, None) if con.execute(f"SELECT 1 FROM {q} LIMIT 1").fetchone() is None else (None, 0)
+    if top[0] is None:
+        ranges = [] if top[1] is None else [(None, None)]
+    else:
+        ranges = [(lo, min(lo + chunk - 1, top[1])) for lo in range(top[0], top[1] + 1, chunk)]
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds)
     if not ranges:
         return spark.createDataFrame([], schema)
