@@ -9,7 +9,7 @@ from tessera.llm import vectors as V
 def test_depth_follows_from_the_number_of_rows():
     cells = 1
     assert V.depths(0, 64) == V.depths(4000, 64) == []
-    for n in (40_000, 400_000, 4_000_000, 10**9, 10**12):
+    for n in (70_000, 400_000, 4_000_000, 10**9, 10**12):
         deeper = V.depths(n, 64)
         cells = 128 * np.prod([2 * p for p, _ in deeper], dtype=float)
         assert V.CELL_ROWS <= n / cells < 4 * V.CELL_ROWS and all(m <= 2 * p for p, m in deeper)
