@@ -43,11 +43,13 @@ def sentences(text: str | None) -> list[list[str]]:
     """Words of each sentence, lower-cased; runs of Chinese, Japanese or Korean characters become overlapping pairs."""
     out = []
     for part in END.split(text or ""):
-        words: list[str] = []
-        for w in WORD.findall(part.lower()):
-            if w.isascii() or not HAN.search(w):
-                words.append(w)
-            else:
+        words = WORD.findall(part.lower())
+        if not part.isascii() and HAN.search(part):
+            found, words = words, []
+            for w in found:
+                if not HAN.search(w):
+                    words.append(w)
+                    continue
                 for run in HAN.findall(w):
                     words += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
         for lo in range(0, len(words), SENTENCE_WORDS):
