@@ -200,7 +200,9 @@ def near_groups(rows: DataFrame, t: float) -> DataFrame:
     sets = cut(token_sets(rows))
     classes = cut(_classes(sets))
     links = cut(similar_classes(classes, t).select("a", "b"))
-    comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    comp = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    first = comp.groupBy("component").agg(F.min("node").alias("first"))
+    comp = comp.join(first, "component").select("node", F.col("first").alias("component"))
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
     key = F.xxhash64("tok").alias("k")
     label = classes.select("rep", "copies", "tok").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")

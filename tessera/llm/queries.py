@@ -56,6 +56,12 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """For the vectors whose id is divisible by 50: how many neighbours an exact search gives, and whether 0.9 of them are found."""
+    got = vectors.recall(_vectors(spark, d), DIM, NEIGHBOURS)
+    return got.select("queries", "sought", (F.col("found") >= F.col("sought") * 0.9).cast("int").alias("reached"))
+
+
 def _strata_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dev_tied_append").select(F.col("record_id").alias("id"), F.col("question_id").alias("question"), "db_id", "difficulty")
 
@@ -138,7 +144,7 @@ def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
     return p10_found(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).select("subject", "documents", F.round(F.col("documents") / every, 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_neighbours, p5_found, p5_report, p5_sample, p6_found, p6_counts, p7_found, p7_components, p7_splits, p8_found, p8_leaks, p9_found, p9_mixture, p9_shares, p10_found, p10_subjects, p10_corpus)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_neighbours, p3_recall, p5_found, p5_report, p5_sample, p6_found, p6_counts, p7_found, p7_components, p7_splits, p8_found, p8_leaks, p9_found, p9_mixture, p9_shares, p10_found, p10_subjects, p10_corpus)}
 
 _STRATA = """
 with t as (select lower(trim(db_id)) a, lower(trim(difficulty)) b, sum(target_bp) bp, max(min_rows) least from sample_targets group by 1, 2),
@@ -168,4 +174,13 @@ SELECT a record_a, b record_b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHE
     "p5_found": _STRATA + "select a db_id, b difficulty from c, s where n < greatest(least, size * bp // 10000)",
     "p7_found": _TIES + "select a db_a, b db_b from r where a < b",
     "p7_components": _TIES + "select a db_id, least(a, min(b)) first_name, count(distinct b) + (case when bool_or(a = b) then 0 else 1 end) \"names\" from r group by a",
+    "p3_recall": f"""WITH v AS (SELECT vec_id, embeddings e FROM vector_index WHERE len(embeddings) = {DIM} AND len(list_filter(embeddings, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0),
+c AS (SELECT min(vec_id) r FROM v GROUP BY e) SELECT count(*) queries, CAST(sum(least({NEIGHBOURS}, n - 1)) AS BIGINT) sought, 1 reached FROM c, (SELECT count(*) n FROM c) WHERE r % 50 = 0""",
+    "p2_groups": f"""WITH RECURSIVE t AS (SELECT record_id r, list_sort(list_distinct({_QUESTION})) w FROM dev_tied_append),
+k AS (SELECT w, min(r) rep, count(*) copies FROM t WHERE len(w) > 0 GROUP BY w), u AS (SELECT rep, unnest(w) x, len(w) n FROM k),
+c AS (SELECT p.rep a, q.rep b, count(*) c, any_value(p.n) m, any_value(q.n) n FROM u p JOIN u q ON p.x = q.x AND p.rep <> q.rep GROUP BY p.rep, q.rep),
+e AS (SELECT a, b FROM c WHERE c / (m + n - c) >= {SIMILARITY} - 1e-12),
+g(a, b) AS (SELECT a, b FROM e UNION SELECT g.a, e.b FROM g JOIN e ON g.b = e.a),
+f AS (SELECT a rep, least(a, min(b)) first FROM g GROUP BY a), d AS (SELECT a rep, count(*) links FROM e GROUP BY a)
+SELECT t.r record_id, coalesce(f.first, k.rep, t.r) group_id, coalesce(k.copies, 1) copies, coalesce(d.links, 0) links FROM t LEFT JOIN k ON t.w = k.w LEFT JOIN f ON f.rep = k.rep LEFT JOIN d ON d.rep = k.rep""",
 }

@@ -194,6 +194,31 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, tables: int = TABLES,
     return best.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("far"), "c"))), 1, k).alias("near"))
 
 
+def exact_classes(classes: DataFrame, dim: int, k: int, every: int = 50, block_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(q, near) as in ``nearest_classes``, but exact, for the stated queries: the classes whose id is divisible by ``every``.
+
+    Queries and stored vectors are cut into blocks of at most about ``block_rows``, and every pair of blocks is compared.
+    """
+    packed = cut(classes.select("rep", "v").mapInPandas(_packed, "rep long, vec binary"))
+    n = max(1, packed.count())
+    ni, nj = -(-n // (every * block_rows)), -(-n // block_rows)
+    part = lambda m: F.pmod(F.xxhash64("rep"), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    zero = (F.lit(0).alias("t"), F.lit(0).alias("a"))
+    asks = packed.where(F.col("rep") % every == 0).select("rep", "vec", *zero, part(ni).alias("i"), each(nj).alias("j"), F.lit(False).alias("store"), F.lit(True).alias("ask"))
+    held = packed.select("rep", "vec", *zero, each(ni).alias("i"), part(nj).alias("j"), F.lit(True).alias("store"), F.lit(False).alias("ask"))
+    scored = asks.union(held).groupBy("t", "a", "i", "j").applyInPandas(_rerank(dim, k, [], 1, SEED), "q long, c long, cos double")
+    return scored.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("far"), "c"))), 1, k).alias("near"))
+
+
+def recall(rows: DataFrame, dim: int, k: int, every: int = 50, **how) -> DataFrame:
+    """(queries, sought, found): how many of the exact nearest classes of the stated queries the hashing finds."""
+    classes = cut(vector_classes(sound(rows, dim), k))
+    exact = exact_classes(classes, dim, k, every).select("q", F.explode("near").alias("x")).select("q", "x.c")
+    near = nearest_classes(classes, dim, k, **how).where(F.col("q") % every == 0).select("q", F.explode("near").alias("x")).select("q", "x.c", F.lit(1).alias("hit"))
+    return exact.join(near, ["q", "c"], "left").agg(F.count_distinct("q").alias("queries"), F.count("*").alias("sought"), F.count("hit").alias("found"))
+
+
 def nearest_rows(rows: DataFrame, dim: int, k: int, **how) -> DataFrame:
     """(id, neighbour, cosine): for each row (id, v) its k most similar other rows; ties go to the smaller id.
 
