@@ -26,6 +26,23 @@ def vote(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.vote(c, ["question_id"]).select("question_id", "idx", "votes", "candidates")
 
 
+#: Candidate queries of made-up cases on the star schema, in the dialect.
+VOTES = {
+    0: ("SELECT COUNT(*) FROM nation", "SELECT COUNT(*) FROM region", "SELECT COUNT(n_nationkey) FROM nation"),
+    1: ("SELECT n_name FROM nation WHERE n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = 1 ORDER BY n_name DESC", "SELECT n_name FROM nation WHERE n_regionkey = 2"),
+    2: ("SELECT nope FROM nation", "SELECT SUM(p_size) FROM part", "ERROR"),
+    3: ("SELECT nope FROM nation", "ERROR"),
+    4: ("SELECT MAX(o_totalprice) FROM orders", "SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1", "SELECT MIN(o_totalprice) FROM orders"),
+}
+
+
+def vote_results(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of each made-up case are run, and vote by the fingerprints of their results."""
+    judge = evaluate.Evaluator({"star": database(spark, d)})
+    tried = [(case, i, a.sql, a.valid, a.key) for case, sqls in VOTES.items() for i, a in enumerate(judge.run("star", s) for s in sqls)]
+    return evaluate.vote(spark.createDataFrame(tried, "case_id int, idx long, sql string, valid boolean, key string"), ["case_id"]).select("case_id", "idx", "votes", "candidates")
+
+
 #: Pairs of a gold query and an answer on the star schema.
 PAIRS = [
     ("SELECT COUNT(*) FROM orders", "SELECT COUNT(o_orderkey) FROM orders"),
@@ -94,7 +111,7 @@ def late_rows(spark: SparkSession, d: str) -> DataFrame:
     return history.late_rows(table(spark, d, "eval_results"), table(spark, d, "run_history"))
 
 
-QUERIES = {f.__name__: f for f in (multiset_diff, vote, exec_accuracy, run_summary, total_summary, result_outcomes, ordered_results, knowledge_lookup, knowledge_match_counts, history_recent, history_best, history_latest, history_comparison, late_rows)}
+QUERIES = {f.__name__: f for f in (multiset_diff, vote, vote_results, exec_accuracy, run_summary, total_summary, result_outcomes, ordered_results, knowledge_lookup, knowledge_match_counts, history_recent, history_best, history_latest, history_comparison, late_rows)}
 
 _FAIL = "coalesce(error_msg, '') <> ''"
 _KIND = f"CASE WHEN predicted_sql = 'ERROR' THEN 'generation_error' WHEN {_FAIL} THEN 'execution_error' ELSE 'executable' END"
@@ -113,6 +130,11 @@ SQL = {
     "vote": """WITH c AS (SELECT question_id, result_id idx, predicted_sql s, coalesce(error_msg, '') = '' AND predicted_sql IS NOT NULL AND predicted_sql <> 'ERROR' ok FROM eval_results),
 g AS (SELECT question_id, s, count(*) votes, min(idx) f FROM c WHERE ok GROUP BY ALL), w AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, f) = 1)
 SELECT question_id, coalesce(w.f, l) idx, coalesce(votes, 0) votes, n candidates FROM (SELECT question_id, max(idx) l, count(*) n FROM c GROUP BY ALL) LEFT JOIN w USING (question_id)""",
+    "vote_results": """WITH n AS (SELECT count(*) n, count(n_nationkey) k FROM nation), r AS (SELECT count(*) n FROM region),
+l AS (SELECT coalesce(list_sort(list(n_name) FILTER (n_regionkey = 1)), []) a, coalesce(list_sort(list(n_name) FILTER (n_regionkey = 2)), []) b FROM nation),
+v AS (SELECT 0 c, 0 i, 1 + CAST(n.n = n.k AS INT) + CAST(n.n = r.n AS INT) v, 3 k FROM n, r UNION ALL SELECT 1, 0, 2 + CAST(a = b AS INT), 3 FROM l UNION ALL SELECT 2, 1, 1, 3 UNION ALL SELECT 3, 1, 0, 2
+UNION ALL SELECT 4, 0, 2 + CAST(min(o_totalprice) = max(o_totalprice) AS INT), 3 FROM orders)
+SELECT c case_id, CAST(i AS BIGINT) idx, CAST(v AS BIGINT) votes, CAST(k AS BIGINT) candidates FROM v""",
     "exec_accuracy": "SELECT * FROM (VALUES (0, 1, 0), (1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0), (5, 0, 1)) t(order_index, is_correct, failed)",
     "run_summary": f"SELECT run_tag, {_SUM} GROUP BY run_tag",
     "total_summary": f"SELECT {_SUM}",

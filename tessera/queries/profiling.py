@@ -105,6 +105,13 @@ def minhash_sim(spark: SparkSession, d: str) -> DataFrame:
     return s.join(b, ["seed", "h"]).where("tbl < tbl2").groupBy("tbl", "col", "tbl2", "col2").agg(F.round(F.count("*") / joins.SEEDS, 4).alias("similarity"))
 
 
+def minhash_sim_all(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of the signatures of all columns of different tables that agree in a seed; signatures meet per (seed, hash)."""
+    s = cut(joins.minhash(_values(spark, d)).select("tbl", "col", F.posexplode("signature").alias("seed", "h")))
+    b = s.select(F.col("tbl").alias("tbl2"), F.col("col").alias("col2"), "seed", "h")
+    return s.join(b, ["seed", "h"]).where("tbl < tbl2").groupBy("tbl", "col", "tbl2", "col2").agg(F.round(F.count("*") / joins.SEEDS, 4).alias("similarity"))
+
+
 def overlap(spark: SparkSession, d: str) -> DataFrame:
     return joins.overlaps(joins.tokens(_values(spark, d)))
 
@@ -116,7 +123,7 @@ def join_candidates(spark: SparkSession, d: str) -> DataFrame:
     return joins.join_candidates(v, count, semantic, profile.key_scores(count, semantic, CONSTRAINTS), CONSTRAINTS).withColumn("target_likely_key", F.col("target_likely_key").cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (profile_counts, profile_ratios, profile_topk, profile_entropy, profile_patterns, profile_prefixes, profile_shape, profile_numeric, profile_dates, profile_samples, profile_semantic, profile_key_score, profile_flags, profile_full, profile_basic, minhash_sig, minhash_sim, overlap, join_candidates)}
+QUERIES = {f.__name__: f for f in (profile_counts, profile_ratios, profile_topk, profile_entropy, profile_patterns, profile_prefixes, profile_shape, profile_numeric, profile_dates, profile_samples, profile_semantic, profile_key_score, profile_flags, profile_full, profile_basic, minhash_sig, minhash_sim, minhash_sim_all, overlap, join_candidates)}
 
 # --- SQL: the same statistics from one long view of all values
 
@@ -218,6 +225,7 @@ SELECT tbl, col, count(*) count, round(min(x), 4) min, round(max(x), 4) max, rou
     "profile_basic": _BASE
     + "SELECT tbl, col, nulls, distinct_count, coalesce(t, '') top FROM c LEFT JOIN (SELECT tbl, col, string_agg(v || '=' || n, ', ' ORDER BY rank) t FROM top WHERE rank <= 3 GROUP BY ALL) USING (tbl, col) WHERE tbl = 'customer'",
     "minhash_sig": _BASE + "SELECT tbl, col, array_to_string(sig, '') signature FROM mh",
+    "minhash_sim_all": _BASE + "SELECT x.tbl, x.col, y.tbl tbl2, y.col col2, round(len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 32, 4) similarity FROM mh x JOIN mh y ON x.tbl < y.tbl WHERE len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) > 0",
     "minhash_sim": _BASE + "SELECT x.tbl, x.col, y.tbl tbl2, y.col col2, round(len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 32, 4) similarity FROM mh x JOIN mh y ON x.tbl < y.tbl WHERE x.col LIKE '%key' AND y.col LIKE '%key' AND len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) > 0",
     "overlap": _BASE + "SELECT * FROM ov",
     "join_candidates": _BASE + _JOIN,
