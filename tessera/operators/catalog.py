@@ -112,11 +112,26 @@ def _root(out_dir: str, db: str, settings: Mapping[str, str] | None) -> str:
     return os.path.join(out_dir, db, "-".join([VERSION, *[f"{k}={v}" for k, v in sorted((settings or {}).items())]]))
 
 
+def _column_by_column(name: str, df: DataFrame, constraints: Constraints) -> tuple[DataFrame, dict[str, str]]:
+    """The profiles of the columns that can be profiled, each on its own, and the errors of the others; none at all is an error."""
+    found, bad = None, {}
+    for i, c in enumerate(df.columns):
+        try:
+            one = cut(profile({name: df.select(F.col(f"`{c}`"))}, constraints).withColumn("ord", F.lit(i)))
+            found = one if found is None else found.unionByName(one)
+        except Exception as e:
+            bad[f"{name}.{c}"] = str(e).splitlines()[0][:300]
+    if found is None:
+        raise ValueError(f"no column of {name} can be profiled")
+    return found, bad
+
+
 def build(tables: Mapping[str, DataFrame], out_dir: str, db: str, constraints: Constraints = Constraints(), settings: Mapping[str, str] | None = None, provider: Provider | None = None) -> dict:
     """Profiles and describes the tables that this version and these settings have not yet profiled, one at a time; returns the run's meta.
 
     Each table is its own Parquet folder on any file system that Spark reads, renamed to its final name last of all, so a
-    stopped build resumes with the tables that are missing.  A table that fails is reported and skipped.  The settings are
+    stopped build resumes with the tables that are missing.  A column that fails is reported and left out, a table of which
+    none can be read is reported and skipped.  The settings are
     part of the folder's name: a limited run is never taken for a full one.  Names with the reserved prefix are skipped.
     """
     root = _root(out_dir, db, settings)
@@ -129,7 +144,12 @@ def build(tables: Mapping[str, DataFrame], out_dir: str, db: str, constraints: C
             skipped.append(name)
             continue
         try:
-            write_table(described(cut(profile({name: df}, constraints)), provider).coalesce(1), path)
+            try:
+                found = cut(profile({name: df}, constraints))
+            except Exception:  # some column of it is bad: the others count
+                found, bad = _column_by_column(name, df, constraints)
+                failed.update(bad)
+            write_table(described(found, provider).coalesce(1), path)
             done.append(name)
         except Exception as e:  # one bad table must not end the build
             failed[name] = str(e).splitlines()[0][:300]

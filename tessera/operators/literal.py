@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.cluster import cut
+
 PER_COLUMN, LEAST_CHARS = 1000, 4
 
 
@@ -54,9 +56,11 @@ def literal_links(questions: DataFrame, index: DataFrame) -> DataFrame:
     low = F.lower("value")
     n = F.when(F.length(low) >= 32, 32).when(F.length(low) >= 16, 16).when(F.length(low) >= 8, 8).otherwise(LEAST_CHARS)
     lit = index.where(F.length("value") >= LEAST_CHARS).select(low.alias("low"), n.alias("n"), low.substr(F.lit(1), n).alias("head"), "columns")
-    starts = lit.select(F.substring("head", 1, LEAST_CHARS).alias("g"), "n").distinct()
-    q = questions.where("question is not null").select("id", F.lower("question").alias("q"), F.explode(grams(F.col("question"))).alias("g"))
-    near = q.join(starts, "g").select("id", "q", F.explode(F.filter(grams(F.col("q"), F.col("n")), lambda x: F.startswith(x, F.col("g")))).alias("head"))
+    # the beginnings are written once: where they are few the optimiser knows and broadcasts them, else pieces travel without texts
+    starts = cut(lit.select(F.substring("head", 1, LEAST_CHARS).alias("g"), "n").distinct())
+    q = questions.where("question is not null").select("id", F.lower("question").alias("q"))
+    met = q.select("id", F.explode(grams(F.col("q"))).alias("g")).join(starts, "g").groupBy("id", "n").agg(F.collect_set("g").alias("gs"))  # bounded by the text
+    near = met.join(q, "id").select("id", "q", F.explode(F.filter(grams(F.col("q"), F.col("n")), lambda x: F.array_contains("gs", F.substring(x, 1, LEAST_CHARS)))).alias("head"))
     hit = near.join(lit, "head").where(F.contains("q", "low"))
     return hit.select("id", F.explode("columns").alias("column")).distinct()
 

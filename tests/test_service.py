@@ -96,6 +96,16 @@ def test_catalog_round_trip(spark, tmp_path):
         catalog.read(spark, str(tmp_path), "other")
 
 
+def test_one_bad_column_does_not_end_a_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    bad = F.udf(lambda x: 1 / 0, "int")
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "i int, s string").withColumn("broken", bad("i"))
+    meta = catalog.build({"t": t, "u": t.select("broken")}, str(tmp_path), "d")
+    assert meta["profiled"] == ["t"] and set(meta["failed"]) == {"t.broken", "u"} and meta["status"] == "in_progress"
+    assert {(r.col, r.ord) for r in catalog.read(spark, str(tmp_path), "d")[0].collect()} == {("i", 0), ("s", 1)}
+
+
 def test_linked_generation():
     asked = []
 
