@@ -175,7 +175,7 @@ SELECT a record_a, b record_b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHE
     "p7_found": _TIES + "select a db_a, b db_b from r where a < b",
     "p7_components": _TIES + "select a db_id, least(a, min(b)) first_name, count(distinct b) + (case when bool_or(a = b) then 0 else 1 end) \"names\" from r group by a",
     "p3_recall": f"""WITH v AS (SELECT vec_id, embeddings e FROM vector_index WHERE len(embeddings) = {DIM} AND len(list_filter(embeddings, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0),
-c AS (SELECT min(vec_id) r FROM v GROUP BY e) SELECT count(*) queries, CAST(sum(least({NEIGHBOURS}, n - 1)) AS BIGINT) sought, 1 reached FROM c, (SELECT count(*) n FROM c) WHERE r % 50 = 0""",
+c AS (SELECT min(vec_id) r FROM v GROUP BY e) SELECT count(*) queries, CAST(coalesce(sum(least({NEIGHBOURS}, n - 1)), 0) AS BIGINT) sought, 1 reached FROM c, (SELECT count(*) n FROM c) WHERE r % 50 = 0""",
     "p2_groups": f"""WITH RECURSIVE t AS (SELECT record_id r, list_sort(list_distinct({_QUESTION})) w FROM dev_tied_append),
 k AS (SELECT w, min(r) rep, count(*) copies FROM t WHERE len(w) > 0 GROUP BY w), u AS (SELECT rep, unnest(w) x, len(w) n FROM k),
 c AS (SELECT p.rep a, q.rep b, count(*) c, any_value(p.n) m, any_value(q.n) n FROM u p JOIN u q ON p.x = q.x AND p.rep <> q.rep GROUP BY p.rep, q.rep),
