@@ -123,7 +123,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "not_exists_some": ("SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", None),
     "like_folds_case": ("SELECT n_nationkey FROM nation WHERE n_name LIKE '%tion_1%'", "SELECT n_nationkey FROM nation WHERE n_name ILIKE '%tion_1%'"),
     "glob_class": ("SELECT p_partkey FROM part WHERE p_type GLOB '[A-M]*' AND p_name GLOB '*red?*'", None),
-    "union_mixed": ("SELECT n_nationkey AS k FROM nation UNION SELECT r_name FROM region", "SELECT CAST(n_nationkey AS VARCHAR) AS k FROM nation UNION SELECT r_name FROM region"),
+    "union_mixed": ("SELECT k || '' AS k FROM (SELECT n_nationkey AS k FROM nation UNION SELECT r_name FROM region) AS t", "SELECT CAST(n_nationkey AS VARCHAR) AS k FROM nation UNION SELECT r_name FROM region"),
     "month_overflow": (
         "SELECT o_orderkey, DATE(o_orderdate, '+1 month') AS d FROM orders",
         "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + to_days(CAST(day(o_orderdate) - 1 AS INT)), '%Y-%m-%d') AS d FROM orders",
@@ -131,7 +131,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "row_values": ("SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderstatus) IN (SELECT c_custkey, 'F' FROM customer WHERE c_nationkey = 3)", None),
     "row_compare": ("SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderkey) > (700, 5000)", None),
     "json_member": (
-        "SELECT event_id, JSON_EXTRACT(props, '$.k') AS k FROM events WHERE JSON_EXTRACT(props, '$.k') > 50",
+        "SELECT event_id, JSON_EXTRACT(props, '$.k') || '' AS k FROM events WHERE JSON_EXTRACT(props, '$.k') > 50",
         "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50",
     ),
     "hex_unicode": ("SELECT n_nationkey, HEX(n_name) AS h, UNICODE(n_name) AS u FROM nation", None),
