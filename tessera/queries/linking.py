@@ -123,6 +123,7 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id, tbl ORDER BY col_score
 SELECT id, tbl, table_rank, table_score, col, col_rank, col_score FROM r LEFT JOIN k USING (id, tbl)"""
 
 SQL = {
+    "json_answers": "SELECT event_id, CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN CAST(json(props) AS VARCHAR) END AS found FROM events",
     "literal_index": _IDX + " SELECT v AS value, array_to_string(cs, ',') AS columns FROM i",
     "literal_link": _IDX + " SELECT DISTINCT record_id id, unnest(cs) AS \"column\" FROM dev_tied_append JOIN i ON length(v) > 3 AND contains(lower(question), lower(v))",
     "cosine_topk": "SELECT * FROM (SELECT q.vec_id query, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, r.vec_id) AS INT) rank, r.vec_id id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) score FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0) WHERE rank <= 5 AND score > 0.35",
